@@ -12,21 +12,20 @@ from ..functions.metrics import flow_value
 SEQ_SLOTS = 1_000_000
 
 
-def explode_results(df: DataFrame, seq_col: str | None = None) -> DataFrame:
+def explode_results(df: DataFrame) -> DataFrame:
     """One row per ``results[]`` element, keeping its position ``pos``.
 
-    ``seq`` is the total order of records: given by ``seq_col`` when the
-    source has one, else ``epoch seconds of snapshot_ts * 1e6 + pos``.
-    Other input columns pass through.
+    ``seq`` (the total order of records) is ``base * 1e6 + pos`` where base
+    is the document's own ``seq`` when it has one, else the epoch seconds
+    of ``snapshot_ts`` (one document per snapshot). Other columns pass.
     """
-    keep = [c for c in df.columns if c != "results"]
-    out = df.select(*keep, F.posexplode(F.coalesce("results", F.array())).alias("pos", "result"))
-    if seq_col is None:
-        base = F.unix_seconds(F.to_timestamp("snapshot_ts", "yyyyMMdd'T'HHmmss")).cast("long")
-        out = out.withColumn("seq", base * F.lit(SEQ_SLOTS) + F.col("pos"))
-    elif seq_col != "seq":
-        out = out.withColumn("seq", F.col(seq_col))
-    return out
+    keep = [c for c in df.columns if c not in ("results", "seq")]
+    epoch = F.unix_seconds(F.to_timestamp("snapshot_ts", "yyyyMMdd'T'HHmmss")).cast("long")
+    base = F.coalesce(F.col("seq"), epoch) if "seq" in df.columns else epoch
+    out = df.select(*keep, base.alias("_base"),
+                    F.posexplode(F.coalesce("results", F.array())).alias("pos", "result"))
+    return (out.withColumn("seq", F.col("_base") * F.lit(SEQ_SLOTS) + F.col("pos"))
+               .withColumn("pos", F.col("pos").cast("long")).drop("_base"))
 
 
 def has_links(df: DataFrame) -> DataFrame:
@@ -60,7 +59,7 @@ def shape_columns(df: DataFrame) -> DataFrame:
             .drop("_raw_points"))
 
 
-def parse_snapshot(df: DataFrame, seq_col: str | None = None) -> DataFrame:
+def parse_snapshot(df: DataFrame) -> DataFrame:
     """explode -> drop linkless -> flow fields -> shape; drops the raw struct."""
-    out = shape_columns(flow_fields(has_links(explode_results(df, seq_col))))
+    out = shape_columns(flow_fields(has_links(explode_results(df))))
     return out.drop("result")

@@ -40,25 +40,30 @@ def empty_registry(spark) -> DataFrame:
     return spark.createDataFrame([], REGISTRY)
 
 
-def register_segments(records: DataFrame, registry: DataFrame, created_at=None) -> DataFrame:
-    """Return ``registry`` plus rows for shapes seen for the first time.
+def register_new(records: DataFrame, registry: DataFrame, created_at=None) -> DataFrame:
+    """Registry rows for shapes seen for the first time.
 
     New shapes are numbered densely after the current maximum index, in
     first-seen order (``seq``). Only new distinct shapes are numbered, and
-    the numbering is bucketed (no single-task window).
+    the numbering is bucketed (no single-task window). Replaying the same
+    records against the updated registry yields no rows.
     """
     fresh = first_seen(new_shapes(records, registry))
     top = registry.agg(F.max("segment_index").alias("m")).first()["m"]
     start = int(top or 0) + 1
     numbered = dense_ordinal(fresh, "first_seq", "segment_index", start=start)
     stamp = (F.current_timestamp() if created_at is None else F.lit(created_at)).cast("timestamp_ntz")
-    rows = numbered.select(
+    return numbered.select(
         "shape_hash", "segment_index",
         registry_name(F.col("name"), F.col("segment_index")).alias("name"),
         F.col("shape_json").alias("shape"),
         stamp.alias("created_at"),
         "first_seq")
-    return registry.select(*REGISTRY.fieldNames()).unionByName(rows)
+
+
+def register_segments(records: DataFrame, registry: DataFrame, created_at=None) -> DataFrame:
+    """``registry`` plus the rows of newly seen shapes."""
+    return registry.select(*REGISTRY.fieldNames()).unionByName(register_new(records, registry, created_at))
 
 
 def attach_segment(records: DataFrame, registry: DataFrame) -> DataFrame:

@@ -229,3 +229,111 @@ SELECT {_FC_TIME} AS "Time", segment_index,
   list_transform(range(1, 13), lambda h: round((ym - slope * tm) - slope * h, 2) + 0.0) AS "Speed" FROM fit"""
 SQL["forecast_trend"] = _TREND
 SQL["forecast_network"] = _TREND
+
+
+# --- snapshots (computed from the order columns, no JSON) -----------------
+
+def _coord(base: str, mult: int, add: int, i: int, key: str = "k") -> str:
+    return (f"round(CAST({base} AS DOUBLE) + (({key} * {mult} + {i} * {add}) % {400000 if base == '10.6' else 500000})"
+            f" / CAST(1e6 AS DOUBLE) + CAST(3e-8 AS DOUBLE), 6)")
+
+
+def _lat(i: int) -> str:
+    v = _coord("10.6", 7919, 104729, i)
+    return f"CASE WHEN k % 19 = 0 THEN CAST(11.0 AS DOUBLE) ELSE {v} END" if i == 0 else v
+
+
+def _lat_txt(i: int) -> str:
+    return f"CASE WHEN k % 19 = 0 THEN '11' ELSE CAST({_lat(i)} AS VARCHAR) END" if i == 0 else f"CAST({_lat(i)} AS VARCHAR)"
+
+
+def _lng(i: int) -> str:
+    return _coord("106.5", 6151, 7717, i)
+
+
+def _pt_json(i: int) -> str:
+    return f"""'{{"lat": ' || {_lat_txt(i)} || ', "lng": ' || CAST({_lng(i)} AS VARCHAR) || '}}'"""
+
+
+SN = f"""sn0 AS (SELECT o_orderkey AS okey, o_custkey AS k, o_orderkey * 1000000 AS seq,
+    strftime(o_orderdate, '%Y%m%dT%H%M%S') AS snapshot_ts, o_orderstatus, o_totalprice FROM orders),
+  sn AS (SELECT okey, k, seq, snapshot_ts,
+    (k % 23 <> 0 AND k % 13 <> 0) AS has_links,
+    (k % 23 <> 0 AND k % 13 <> 0 AND k % 17 <> 0) AS has_points,
+    CASE WHEN k % 11 = 0 OR k % 7 = 0 THEN '' ELSE 'Road ' || CAST(k AS VARCHAR) END AS name,
+    CASE WHEN okey % 37 = 0 OR okey % 29 = 0 THEN 0.0 WHEN okey % 31 = 0 THEN NULL
+         ELSE o_totalprice / CAST(2e4 AS DOUBLE) END AS speed_ms,
+    CASE WHEN okey % 37 = 0 THEN 0.0 ELSE CAST(okey % 11 AS DOUBLE) END AS jam_factor,
+    CASE WHEN okey % 37 = 0 THEN 0.0 ELSE CAST(k % 20 + 10 AS DOUBLE) END AS free_flow_speed,
+    CASE WHEN okey % 37 = 0 OR o_orderstatus = 'P' THEN 0.0
+         ELSE CAST(0.5 AS DOUBLE) + (okey % 50) / CAST(100.0 AS DOUBLE) END AS confidence,
+    CASE WHEN k % 23 = 0 OR k % 13 = 0 OR k % 17 = 0 THEN []
+         ELSE [{_lat(0)}, {_lat(1)}, {_lat(2)}] END AS lats,
+    CASE WHEN k % 23 = 0 OR k % 13 = 0 OR k % 17 = 0 THEN []
+         ELSE [{_lng(0)}, {_lng(1)}, {_lng(2)}] END AS lngs,
+    CASE WHEN k % 23 = 0 OR k % 13 = 0 OR k % 17 = 0 THEN '[]'
+         ELSE '[' || {_pt_json(0)} || ', ' || {_pt_json(1)} || ', ' || {_pt_json(2)} || ']' END AS shape_json
+    FROM sn0),
+  recs AS (SELECT *, sha256(shape_json) AS shape_hash FROM sn WHERE has_links)"""
+
+# Spark rounds the decimal text of a double HALF_UP; DuckDB's round works on
+# the binary value. Rounding the decimal form reproduces Spark's rule.
+def _spark_round(x: str, d: int) -> str:
+    return f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 17)), {d}) AS DOUBLE)"
+
+
+FIRST = """fs AS (SELECT shape_hash, min(seq) AS first_seq, arg_min(name, seq) AS name,
+    arg_min(shape_json, seq) AS shape_json FROM recs GROUP BY 1)"""
+REG_ALL = """reg AS (SELECT shape_hash, row_number() OVER (ORDER BY first_seq) AS segment_index,
+    name AS raw_name, first_seq FROM fs),
+  reg2 AS (SELECT shape_hash, segment_index,
+    CASE WHEN raw_name IS NULL OR raw_name = '' THEN 'segment_' || CAST(segment_index AS VARCHAR) ELSE raw_name END AS name,
+    first_seq FROM reg)"""
+
+SQL["parse_results"] = _with(SN) + "SELECT seq, snapshot_ts, CAST(0 AS BIGINT) AS pos FROM sn"
+SQL["filter_links"] = _with(SN) + "SELECT seq FROM sn WHERE has_links"
+SQL["flow_fields"] = _with(SN) + """SELECT seq, name, speed_ms, jam_factor, free_flow_speed, confidence FROM sn"""
+SQL["shape_points"] = _with(SN) + """SELECT seq, CAST(len(lats) AS BIGINT) AS n_points, lats, lngs FROM sn"""
+SQL["shape_json"] = _with(SN) + "SELECT seq, shape_json FROM recs"
+SQL["shape_hash"] = _with(SN) + "SELECT seq, shape_hash FROM recs"
+SQL["shape_parse"] = _with(SN) + """SELECT seq, CAST(len(lats) AS BIGINT) AS n_points, lats, lngs FROM recs"""
+SQL["shape_center_view"] = _with(SN) + """SELECT seq,
+  CASE WHEN len(lats) = 0 THEN 10.776889 ELSE (list_min(lats) + list_max(lats)) / 2 END AS center_lat,
+  CASE WHEN len(lngs) = 0 THEN 106.695278 ELSE (list_min(lngs) + list_max(lngs)) / 2 END AS center_lng FROM sn"""
+SQL["run_metrics"] = _with(SN) + """SELECT snapshot_ts, count(*) AS extracted, count_if(has_links) AS written
+  FROM sn GROUP BY 1"""
+SQL["first_seen"] = _with(SN, FIRST) + "SELECT shape_hash, first_seq, name, shape_json FROM fs"
+_EARLY = """early AS (SELECT shape_hash, min(seq) AS first_seq, arg_min(name, seq) AS name FROM recs
+    WHERE snapshot_ts < '19980415T000000' GROUP BY 1)"""
+SQL["new_shapes"] = _with(SN, _EARLY) + """SELECT seq, shape_hash FROM recs
+  WHERE snapshot_ts >= '19980415T000000' AND shape_hash NOT IN (SELECT shape_hash FROM early)"""
+SQL["register_segments"] = _with(SN, FIRST, REG_ALL) + "SELECT shape_hash, segment_index, name, first_seq FROM reg2"
+SQL["register_incremental"] = _with(SN, _EARLY) + """,
+  late AS (SELECT shape_hash, min(seq) AS first_seq, arg_min(name, seq) AS name FROM recs
+    WHERE snapshot_ts >= '19980415T000000' AND shape_hash NOT IN (SELECT shape_hash FROM early) GROUP BY 1),
+  allreg AS (
+    SELECT shape_hash, row_number() OVER (ORDER BY first_seq) AS segment_index, name, first_seq FROM early
+    UNION ALL
+    SELECT shape_hash, (SELECT count(*) FROM early) + row_number() OVER (ORDER BY first_seq) AS segment_index,
+      name, first_seq FROM late)
+SELECT shape_hash, segment_index,
+  CASE WHEN name IS NULL OR name = '' THEN 'segment_' || CAST(segment_index AS VARCHAR) ELSE name END AS name,
+  first_seq FROM allreg"""
+SQL["attach_segment"] = _with(SN, FIRST, REG_ALL) + """SELECT r.seq, g.segment_index FROM recs r
+  JOIN reg2 g ON g.shape_hash = r.shape_hash"""
+SQL["stamp_ingest"] = _with(SN) + "SELECT seq, TIMESTAMP '2024-02-01 00:00:00' AS ingested_at FROM recs"
+SQL["etl_records"] = _with(SN, FIRST, REG_ALL) + f"""SELECT g.segment_index, r.seq, r.speed_ms AS "Speed",
+  {_spark_round('r.speed_ms * 3.6', 2)} AS "SpeedKmh", r.jam_factor AS "JamFactor",
+  r.free_flow_speed AS "FreeFlow", r.confidence AS "Confidence", TIMESTAMP '2024-02-01 00:00:00' AS "IngestedAt"
+  FROM recs r JOIN reg2 g ON g.shape_hash = r.shape_hash"""
+_TRANSFORMED = _with(SN, FIRST, REG_ALL) + f"""SELECT r.seq, g.segment_index, r.shape_hash, r.name, r.speed_ms,
+  {_spark_round('r.speed_ms * 3.6', 2)} AS speed_kmh, r.snapshot_ts
+  FROM recs r JOIN reg2 g ON g.shape_hash = r.shape_hash"""
+SQL["etl_transformed"] = _TRANSFORMED
+SQL["sink_transformed_roundtrip"] = _TRANSFORMED
+SQL["src_snapshot_json"] = _with(SN) + "SELECT seq, snapshot_ts, name, speed_ms, shape_hash FROM recs"
+SQL["sink_speed_records"] = _with(SR) + """SELECT segment_index, seq, speed AS "Speed",
+  round(speed * 3.6, 2) AS "SpeedKmh" FROM sr"""
+SQL["sink_predictions"] = SQL["forecast_persistence"]
+SQL["stream_latest"] = SQL["latest_speed"]
+SQL["stream_ingest"] = _with(SN) + """SELECT seq, shape_hash, speed_ms AS "Speed" FROM recs"""

@@ -340,3 +340,194 @@ def forecast_trend(spark, sf):
 @query
 def forecast_network(spark, sf):
     return _forecast(spark, sf, FC.trend_matrix)
+
+
+# --- snapshots: parsing, shapes, registration -----------------------------
+
+from ..functions.shape import parse_shape, shape_center  # noqa: E402
+from ..operators import parse as P  # noqa: E402
+from ..operators import records as RC  # noqa: E402
+from ..plans import etl as ETL  # noqa: E402
+from ..session import scratch_path  # noqa: E402
+from ..sources import snapshots as SS  # noqa: E402
+from ..sources import tables as TB  # noqa: E402
+
+SPLIT_SNAPSHOT = "19980415T000000"   # early / late halves of the snapshots
+
+
+def _parsed(spark, sf) -> DataFrame:
+    return P.parse_snapshot(SI.snapshots(spark, sf))
+
+
+def _lat_lng(df: DataFrame, col: str = "shape") -> DataFrame:
+    return df.select("seq", F.size(col).cast("long").alias("n_points"),
+                     F.transform(col, lambda p: p["lat"]).alias("lats"),
+                     F.transform(col, lambda p: p["lng"]).alias("lngs"))
+
+
+@query
+def parse_results(spark, sf):
+    return P.explode_results(SI.snapshots(spark, sf)).select("seq", "snapshot_ts", "pos")
+
+
+@query
+def filter_links(spark, sf):
+    return P.has_links(P.explode_results(SI.snapshots(spark, sf))).select("seq")
+
+
+@query
+def flow_fields(spark, sf):
+    return P.flow_fields(P.explode_results(SI.snapshots(spark, sf))).select(
+        "seq", "name", "speed_ms", "jam_factor", "free_flow_speed", "confidence")
+
+
+@query
+def shape_points(spark, sf):
+    return _lat_lng(P.shape_columns(P.explode_results(SI.snapshots(spark, sf))))
+
+
+@query
+def shape_json(spark, sf):
+    return _parsed(spark, sf).select("seq", "shape_json")
+
+
+@query
+def shape_hash(spark, sf):
+    return _parsed(spark, sf).select("seq", "shape_hash")
+
+
+@query
+def shape_parse(spark, sf):
+    return _lat_lng(_parsed(spark, sf).withColumn("back", parse_shape(F.col("shape_json"))), "back")
+
+
+@query
+def shape_center_view(spark, sf):
+    c = P.shape_columns(P.explode_results(SI.snapshots(spark, sf))).select(
+        "seq", shape_center(F.col("shape")).alias("c"))
+    return c.select("seq", F.col("c.lat").alias("center_lat"), F.col("c.lng").alias("center_lng"))
+
+
+@query
+def run_metrics(spark, sf):
+    return RC.run_metrics(P.explode_results(SI.snapshots(spark, sf)))
+
+
+@query
+def first_seen(spark, sf):
+    return R.first_seen(_parsed(spark, sf))
+
+
+@query
+def new_shapes(spark, sf):
+    parsed = _parsed(spark, sf)
+    early = R.register_segments(parsed.filter(F.col("snapshot_ts") < SPLIT_SNAPSHOT),
+                                R.empty_registry(spark), created_at=RUN_TIME)
+    late = parsed.filter(F.col("snapshot_ts") >= SPLIT_SNAPSHOT)
+    return R.new_shapes(late, early).select("seq", "shape_hash")
+
+
+def _registry_cols(df: DataFrame) -> DataFrame:
+    return df.select("shape_hash", "segment_index", "name", "first_seq")
+
+
+@query
+def register_segments(spark, sf):
+    return _registry_cols(R.register_segments(_parsed(spark, sf), R.empty_registry(spark), created_at=RUN_TIME))
+
+
+@query
+def register_incremental(spark, sf):
+    parsed = _parsed(spark, sf)
+    early = R.register_segments(parsed.filter(F.col("snapshot_ts") < SPLIT_SNAPSHOT),
+                                R.empty_registry(spark), created_at=RUN_TIME)
+    full = R.register_segments(parsed.filter(F.col("snapshot_ts") >= SPLIT_SNAPSHOT), early,
+                               created_at=RUN_TIME)
+    return _registry_cols(full)
+
+
+@query
+def attach_segment(spark, sf):
+    parsed = _parsed(spark, sf)
+    reg = R.register_segments(parsed, R.empty_registry(spark), created_at=RUN_TIME)
+    return R.attach_segment(parsed, reg).select("seq", "segment_index")
+
+
+@query
+def stamp_ingest(spark, sf):
+    return RC.stamp_ingest(_parsed(spark, sf), RUN_TIME).select("seq", "ingested_at")
+
+
+@query
+def etl_records(spark, sf):
+    out = ETL.transform_run(SI.snapshots(spark, sf), R.empty_registry(spark), ingested_at=RUN_TIME)
+    return out.records.drop("snapshot_ts")
+
+
+@query
+def etl_transformed(spark, sf):
+    out = ETL.transform_run(SI.snapshots(spark, sf), R.empty_registry(spark), ingested_at=RUN_TIME)
+    return out.transformed.select("seq", "segment_index", "shape_hash", "name", "speed_ms", "speed_kmh",
+                                  "snapshot_ts")
+
+
+# --- sources and sinks (round trips through the shared checkpoint folder) --
+
+@query
+def src_snapshot_json(spark, sf):
+    path = scratch_path(spark, "raw")
+    SS.write_raw(SI.snapshot_docs(spark, sf), path)
+    docs = SS.read_snapshots(spark, path)
+    return P.parse_snapshot(docs).select("seq", "snapshot_ts", "name", "speed_ms", "shape_hash")
+
+
+@query
+def sink_transformed_roundtrip(spark, sf):
+    path = scratch_path(spark, "transformed")
+    out = ETL.transform_run(SI.snapshots(spark, sf), R.empty_registry(spark), ingested_at=RUN_TIME)
+    TB.write_transformed(out.transformed, path)
+    back = TB.read_transformed(spark, path)
+    return back.select("seq", "segment_index", "shape_hash", "name", "speed_ms", "speed_kmh", "snapshot_ts")
+
+
+@query
+def sink_speed_records(spark, sf):
+    path = scratch_path(spark, "records")
+    sr = SI.speed_records(spark, sf)
+    TB.append_speed_records(sr, path)
+    TB.append_speed_records(sr, path)        # a replay adds nothing
+    return TB.speed_records(spark, path).select("segment_index", "seq", "Speed", "SpeedKmh")
+
+
+@query
+def sink_predictions(spark, sf):
+    path = scratch_path(spark, "predictions")
+    fc = _forecast(spark, sf, "persistence").withColumn("seq", F.col("segment_index"))
+    TB.append_predictions(fc, path)
+    return TB.predictions(spark, path).select("Time", "segment_index", "Speed")
+
+
+@query
+def stream_latest(spark, sf):
+    from ..streaming.ingest import maintain_latest
+    src = scratch_path(spark, "records-src")
+    sr = SI.speed_records(spark, sf)
+    # Land the records as several files so the stream sees several batches.
+    sr.repartitionByRange(4, "seq").write.parquet(src)
+    out = scratch_path(spark, "latest")
+    q = maintain_latest(spark, src, sr.schema, out, scratch_path(spark, "ckpt-latest"), max_files=1)
+    q.awaitTermination()
+    return spark.read.parquet(out).select("segment_index", "speed", "seq")
+
+
+@query
+def stream_ingest(spark, sf):
+    from ..streaming.ingest import stream_ingest as start
+    raw = scratch_path(spark, "landing")
+    SI.snapshot_docs(spark, sf).select("value").repartitionByRange(4, "seq").write.text(raw)
+    reg, tr, rec = (scratch_path(spark, n) for n in ("registry", "transformed", "records"))
+    q = start(spark, raw, reg, tr, rec, scratch_path(spark, "ckpt-ingest"), trigger=None, max_files=1)
+    q.awaitTermination()
+    registry = TB.registry(spark, reg)
+    return (TB.speed_records(spark, rec).join(registry.select("segment_index", "shape_hash"), "segment_index")
+            .select("seq", "shape_hash", "Speed"))

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schemas import RAW_SNAPSHOT
+from ..sources.snapshots import raw_read_schema
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -104,7 +104,11 @@ def _lng_raw(k: F.Column, i: int) -> F.Column:
 
 
 def snapshot_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One raw JSON document per order: (seq, snapshot_ts, value)."""
+    """One raw JSON document per order: (seq, snapshot_ts, value).
+
+    The document carries the order key as its landing ``seq`` and its
+    snapshot key, as our landing format does.
+    """
     o = table(spark, sf_dir, "orders")
     k, ok = F.col("o_custkey"), F.col("o_orderkey")
 
@@ -138,14 +142,15 @@ def snapshot_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = F.concat(F.lit('{"location": '), location,
                       F.when(ok % 37 == 0, F.lit("")).otherwise(F.concat(F.lit(', "currentFlow": '), flow)),
                       F.lit("}"))
-    doc = F.concat(F.lit('{"results": ['), result, F.lit("]}"))
-    return o.select(ok.alias("seq"),
-                    F.date_format("o_orderdate", "yyyyMMdd'T'HHmmss").alias("snapshot_ts"),
-                    doc.alias("value"))
+    snap = F.date_format("o_orderdate", "yyyyMMdd'T'HHmmss")
+    doc = F.concat(F.lit('{"results": ['), result, F.lit('], "seq": '), ok.cast("string"),
+                   F.lit(', "snapshot_ts": "'), snap, F.lit('"}'))
+    return o.select(ok.alias("seq"), snap.alias("snapshot_ts"), doc.alias("value"))
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parsed raw documents: (seq, snapshot_ts, results)."""
     d = snapshot_docs(spark, sf_dir)
-    return d.select("seq", "snapshot_ts", F.from_json("value", RAW_SNAPSHOT).alias("doc")) \
-            .select("seq", "snapshot_ts", F.col("doc.results").alias("results"))
+    return d.select(F.from_json("value", raw_read_schema()).alias("doc")) \
+            .select(F.col("doc.results").alias("results"), F.col("doc.seq").alias("seq"),
+                    F.col("doc.snapshot_ts").alias("snapshot_ts"))

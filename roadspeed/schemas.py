@@ -30,6 +30,9 @@ RAW_RESULT = T.StructType([
 
 RAW_SNAPSHOT = T.StructType([
     T.StructField("results", T.ArrayType(RAW_RESULT)),
+    # Optional landing sequence number of the document (our landing format
+    # writes it; provider documents lack it and fall back to snapshot time).
+    T.StructField("seq", T.LongType()),
 ])
 
 POINT = T.StructType([
