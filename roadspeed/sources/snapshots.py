@@ -43,8 +43,12 @@ def stream_snapshots(spark: SparkSession, path: str, max_files: int | None = Non
     return df.select("results", "seq", ts.alias("snapshot_ts"))
 
 
-def write_raw(docs: DataFrame, path: str) -> None:
+def write_raw(docs: DataFrame, path: str, files: int = 8) -> None:
     """Land raw documents (``snapshot_ts``, ``value`` JSON text) as text,
-    one folder per snapshot; appends, so every run keeps its payload."""
-    (docs.select("snapshot_ts", "value").write.mode("append")
+    one folder per snapshot; appends, so every run keeps its payload.
+
+    Range partitioning keeps a back-fill of many snapshots at about one
+    file per folder; ``seq`` (when present) splits one large snapshot."""
+    keys = ["snapshot_ts"] + (["seq"] if "seq" in docs.columns else [])
+    (docs.repartitionByRange(files, *keys).select("snapshot_ts", "value").write.mode("append")
      .partitionBy("snapshot_ts").text(path))

@@ -30,8 +30,12 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(conf).exists(p)
 
 
-def write_transformed(df: DataFrame, path: str) -> None:
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+def write_transformed(df: DataFrame, path: str, files: int = RECORD_FILES_PER_WRITE) -> None:
+    """Range partitioning on (snapshot_ts, seq): a back-fill of many
+    snapshots writes about one file per folder, while one large run is
+    still split over ``files`` tasks by seq."""
+    (df.repartitionByRange(files, "snapshot_ts", "seq")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("snapshot_ts").parquet(path))
 
 
