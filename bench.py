@@ -21,7 +21,7 @@ HEADLINE = [
     "current_speed", "latest_speed", "recent_history", "series_array", "prediction_view",
     "answer_predict", "list_segments", "search_segments", "geo_circle",
     "parse_results", "shape_hash", "register_segments", "register_incremental", "attach_segment",
-    "etl_records", "run_metrics",
+    "speed_record_projection", "run_metrics",
     "pad_width", "instance_norm", "patches", "denoise_series",
     "forecast_persistence", "forecast_trend", "forecast_network",
 ]

@@ -22,7 +22,7 @@ def explode_results(df: DataFrame) -> DataFrame:
     keep = [c for c in df.columns if c not in ("results", "seq")]
     # An explicit +0000 offset keeps the key independent of the session time zone.
     epoch = F.unix_seconds(F.to_timestamp(F.concat(F.col("snapshot_ts"), F.lit("+0000")),
-                                          F.lit("yyyyMMdd'T'HHmmssZ"))).cast("long")
+                                          "yyyyMMdd'T'HHmmssZ")).cast("long")
     base = F.coalesce(F.col("seq"), epoch) if "seq" in df.columns else epoch
     out = df.select(*keep, base.alias("_base"),
                     F.posexplode(F.coalesce("results", F.array())).alias("pos", "result"))

@@ -134,7 +134,7 @@ SQL["segments_with_history"] = _with(SR, _hist(96), RG) + """SELECT segment_inde
 SQL["silent_segments"] = _with(SR, _hist(96), RG) + """SELECT segment_index FROM rg
   WHERE segment_index NOT IN (SELECT segment_index FROM hist)"""
 SQL["prediction_view"] = _with(SR, LATEST, RG, PR, LATEST_PRED, VIEW) + "SELECT segment_index, name, current, predict FROM view"
-SQL["speed_band_view"] = _with(SR, LATEST, RG, PR, LATEST_PRED, VIEW) + """SELECT segment_index, current,
+SQL["speed_band"] = _with(SR, LATEST, RG, PR, LATEST_PRED, VIEW) + """SELECT segment_index, current,
   CASE WHEN current IS NULL OR isnan(current) THEN 'unknown' WHEN current < 15 THEN 'slow'
        WHEN current < 25 THEN 'medium' ELSE 'fast' END AS band FROM view"""
 SQL["forecast_summary"] = _with(PR, LATEST_PRED) + """SELECT segment_index,
@@ -297,7 +297,7 @@ SQL["shape_points"] = _with(SN) + """SELECT seq, CAST(len(lats) AS BIGINT) AS n_
 SQL["shape_json"] = _with(SN) + "SELECT seq, shape_json FROM recs"
 SQL["shape_hash"] = _with(SN) + "SELECT seq, shape_hash FROM recs"
 SQL["shape_parse"] = _with(SN) + """SELECT seq, CAST(len(lats) AS BIGINT) AS n_points, lats, lngs FROM recs"""
-SQL["shape_center_view"] = _with(SN) + """SELECT seq,
+SQL["shape_center"] = _with(SN) + """SELECT seq,
   CASE WHEN len(lats) = 0 THEN 10.776889 ELSE (list_min(lats) + list_max(lats)) / 2 END AS center_lat,
   CASE WHEN len(lngs) = 0 THEN 106.695278 ELSE (list_min(lngs) + list_max(lngs)) / 2 END AS center_lng FROM sn"""
 SQL["run_metrics"] = _with(SN) + """SELECT snapshot_ts, count(*) AS extracted, count_if(has_links) AS written
@@ -322,7 +322,7 @@ SELECT shape_hash, segment_index,
 SQL["attach_segment"] = _with(SN, FIRST, REG_ALL) + """SELECT r.seq, g.segment_index FROM recs r
   JOIN reg2 g ON g.shape_hash = r.shape_hash"""
 SQL["stamp_ingest"] = _with(SN) + "SELECT seq, TIMESTAMP '2024-02-01 00:00:00' AS ingested_at FROM recs"
-SQL["etl_records"] = _with(SN, FIRST, REG_ALL) + f"""SELECT g.segment_index, r.seq, r.speed_ms AS "Speed",
+SQL["speed_record_projection"] = _with(SN, FIRST, REG_ALL) + f"""SELECT g.segment_index, r.seq, r.speed_ms AS "Speed",
   {_spark_round('r.speed_ms * 3.6', 2)} AS "SpeedKmh", r.jam_factor AS "JamFactor",
   r.free_flow_speed AS "FreeFlow", r.confidence AS "Confidence", TIMESTAMP '2024-02-01 00:00:00' AS "IngestedAt"
   FROM recs r JOIN reg2 g ON g.shape_hash = r.shape_hash"""

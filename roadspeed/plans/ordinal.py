@@ -16,12 +16,18 @@ DEFAULT_BUCKETS = 256
 
 
 def dense_ordinal(df: DataFrame, order_col: str, out_col: str = "ordinal",
-                  start: int | str = 1, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                  start: int | str = 1, buckets: int = DEFAULT_BUCKETS,
+                  materialize: bool = True) -> DataFrame:
     """Add ``out_col`` = start + rank of ``order_col`` (0-based rank).
 
     ``start`` may be a column name holding one constant value (e.g. a
-    broadcast ``max(index) + 1``).
+    broadcast ``max(index) + 1``). The input is read three times (bounds,
+    counts, numbering), so by default it is checkpointed once to the shared
+    checkpoint folder; callers pass already-aggregated, bounded inputs
+    (new distinct shapes, segments).
     """
+    if materialize:
+        df = df.checkpoint(eager=True)
     probs = [i / buckets for i in range(1, buckets)]
     row = df.agg(F.percentile_approx(F.col(order_col).cast("double"), probs, 10_000).alias("q")).first()
     bounds = sorted(set(v for v in (row["q"] or []) if v is not None))

@@ -32,9 +32,12 @@ SHORT_N = 24          # a history length that cuts at every scale
 SEARCH_TEXT = " 12 "  # padded on purpose: the search trims
 
 
-def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
-    return fn
+def query(fn: Query | None = None, *, name: str | None = None):
+    """Register ``fn`` under its own name (or ``name``)."""
+    def add(f: Query) -> Query:
+        QUERIES[name or f.__name__] = f
+        return f
+    return add(fn) if fn is not None else add
 
 
 def _r(col, digits: int = 6) -> F.Column:
@@ -109,7 +112,7 @@ def prediction_view(spark, sf):
                               SI.predictions(spark, sf))
 
 
-@query
+@query(name="speed_band")
 def speed_band_view(spark, sf):
     v = SV.prediction_view(SI.registry(spark, sf), SI.speed_records(spark, sf),
                            SI.predictions(spark, sf))
@@ -401,7 +404,7 @@ def shape_parse(spark, sf):
     return _lat_lng(_parsed(spark, sf).withColumn("back", parse_shape(F.col("shape_json"))), "back")
 
 
-@query
+@query(name="shape_center")
 def shape_center_view(spark, sf):
     c = P.shape_columns(P.explode_results(SI.snapshots(spark, sf))).select(
         "seq", shape_center(F.col("shape")).alias("c"))
@@ -458,7 +461,7 @@ def stamp_ingest(spark, sf):
     return RC.stamp_ingest(_parsed(spark, sf), RUN_TIME).select("seq", "ingested_at")
 
 
-@query
+@query(name="speed_record_projection")
 def etl_records(spark, sf):
     out = ETL.transform_run(SI.snapshots(spark, sf), R.empty_registry(spark), ingested_at=RUN_TIME)
     return out.records.drop("snapshot_ts")
