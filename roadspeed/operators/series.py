@@ -4,7 +4,7 @@ instance normalisation, patches. Series are ``array<double>`` columns
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.wavelet import explode_positions, map_with
@@ -21,15 +21,16 @@ def pad_series(df: DataFrame, to: int | None = None, by: str | None = None,
     """Right-pad ``col`` with 0.0 to a common length.
 
     ``to`` fixes the length; else the longest series within each ``by``
-    group (joined back from a bounded per-group table), else the longest
-    overall (one scalar aggregate).
+    group (at most 325 rows per network), else the longest overall (one
+    scalar aggregate).
     """
     if to is not None:
         target = F.greatest(F.lit(int(to)), F.size(col))
         out = df
     elif by is not None:
-        lens = df.groupBy(by).agg(F.max(F.size(col)).alias("_to"))
-        out = df.join(lens, by)
+        # A window rather than a join back: the input is computed once, and
+        # the shuffle by ``by`` also serves a later grouping on the same key.
+        out = df.withColumn("_to", F.max(F.size(col)).over(Window.partitionBy(by)))
         target = F.col("_to")
     else:
         top = df.agg(F.max(F.size(col)).alias("m")).first()["m"] or 0
