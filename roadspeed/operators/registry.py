@@ -48,7 +48,10 @@ def register_new(records: DataFrame, registry: DataFrame, created_at=None) -> Da
     the numbering is bucketed (no single-task window). Replaying the same
     records against the updated registry yields no rows.
     """
-    fresh = first_seen(new_shapes(records, registry))
+    # Aggregate first: min_by is partial before its shuffle, so a shape that
+    # holds a large share of the records never lands whole in one task; the
+    # anti-join then runs on distinct shapes only.
+    fresh = new_shapes(first_seen(records), registry)
     top = registry.agg(F.max("segment_index").alias("m")).first()["m"]
     start = int(top or 0) + 1
     numbered = dense_ordinal(fresh, "first_seq", "segment_index", start=start)

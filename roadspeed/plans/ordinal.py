@@ -27,6 +27,8 @@ def dense_ordinal(df: DataFrame, order_col: str, out_col: str = "ordinal",
     (new distinct shapes, segments).
     """
     if materialize:
+        from ..session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(df.sparkSession)
         df = df.checkpoint(eager=True)
     probs = [i / buckets for i in range(1, buckets)]
     row = df.agg(F.percentile_approx(F.col(order_col).cast("double"), probs, 10_000).alias("q")).first()
