@@ -40,7 +40,8 @@ def _py_small_text(r: Column) -> Column:
 def coord_text(tok: Column, digits: int = COORD_DIGITS) -> Column:
     """Text Python's json.dumps prints for ``round(token, digits)``."""
     r = coord_value(tok, digits)
-    fixed = F.regexp_replace(F.format_string(f"%.{digits}f", r), "0+$", "")
+    # Plain decimal text of the rounded value, trailing zeros trimmed.
+    fixed = F.regexp_replace(r.try_cast(f"decimal(38,{digits})").cast("string"), "0+$", "")
     fixed = F.when(fixed.endswith("."), F.concat(fixed, F.lit("0"))).otherwise(fixed)
     return (F.when(tok.isNull(), F.lit("null"))
             .when(_is_int_token(tok), F.regexp_replace(tok, r"^-0$", "0"))

@@ -479,7 +479,7 @@ def etl_transformed(spark, sf):
 @query
 def src_snapshot_json(spark, sf):
     path = scratch_path(spark, "raw")
-    SS.write_raw(SI.snapshot_docs(spark, sf), path)
+    SS.write_raw(SI.snapshot_docs(spark, sf), path, by_snapshot=False)
     docs = SS.read_snapshots(spark, path)
     return P.parse_snapshot(docs).select("seq", "snapshot_ts", "name", "speed_ms", "shape_hash")
 

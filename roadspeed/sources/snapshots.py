@@ -43,12 +43,18 @@ def stream_snapshots(spark: SparkSession, path: str, max_files: int | None = Non
     return df.select("results", "seq", ts.alias("snapshot_ts"))
 
 
-def write_raw(docs: DataFrame, path: str, files: int = 8) -> None:
-    """Land raw documents (``snapshot_ts``, ``value`` JSON text) as text,
-    one folder per snapshot; appends, so every run keeps its payload.
-
-    Range partitioning keeps a back-fill of many snapshots at about one
-    file per folder; ``seq`` (when present) splits one large snapshot."""
+def write_raw(docs: DataFrame, path: str, files: int = 8, by_snapshot: bool = True) -> None:
+    """Land raw documents (``snapshot_ts``, ``value`` JSON text) as text;
+    appends, so every run keeps its payload.
+
+    ``by_snapshot`` writes one folder per snapshot (the run layout); range
+    partitioning keeps a back-fill of many snapshots at about one file per
+    folder and ``seq`` (when present) splits one large snapshot. Documents
+    that carry their own ``snapshot_ts`` can be landed flat instead.
+    """
     keys = ["snapshot_ts"] + (["seq"] if "seq" in docs.columns else [])
-    (docs.repartitionByRange(files, *keys).select("snapshot_ts", "value").write.mode("append")
-     .partitionBy("snapshot_ts").text(path))
+    spread = docs.repartitionByRange(files, *keys)
+    if by_snapshot:
+        spread.select("snapshot_ts", "value").write.mode("append").partitionBy("snapshot_ts").text(path)
+    else:
+        spread.select("value").write.mode("append").text(path)
