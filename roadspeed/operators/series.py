@@ -17,21 +17,26 @@ NORM_EPS = 1e-5
 
 
 def pad_series(df: DataFrame, to: int | None = None, by: str | None = None,
-               col: str = "series") -> DataFrame:
+               col: str = "series", shuffle_by_group: bool = False) -> DataFrame:
     """Right-pad ``col`` with 0.0 to a common length.
 
     ``to`` fixes the length; else the longest series within each ``by``
-    group (at most 325 rows per network), else the longest overall (one
-    scalar aggregate).
+    group, else the longest overall (one scalar aggregate).
     """
     if to is not None:
         target = F.greatest(F.lit(int(to)), F.size(col))
         out = df
-    elif by is not None:
-        # A window rather than a join back: the input is computed once, and
-        # the shuffle by ``by`` also serves a later grouping on the same key.
+    elif by is not None and shuffle_by_group:
+        # Window: the rows move to their group once, and that shuffle also
+        # serves a following grouping on the same key (a network scorer).
         out = df.withColumn("_to", F.max(F.size(col)).over(Window.partitionBy(by)))
         target = F.col("_to")
+    elif by is not None:
+        # Join back a per-group table (one row per group, so bounded); the
+        # series keep their partitioning and parallelism.
+        lens = df.groupBy(by).agg(F.max(F.size(col)).alias("_to"))
+        out = df.join(lens, by)
+        target = F.col("_to")
     else:
         top = df.agg(F.max(F.size(col)).alias("m")).first()["m"] or 0
         target = F.lit(int(top))
