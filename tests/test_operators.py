@@ -75,3 +75,27 @@ def test_target_width_and_patches(spark):
     s = spark.createDataFrame([(1, [float(i) for i in range(30)])], "segment_index long, series array<double>")
     p = S.patches(s).orderBy("patch").collect()
     assert len(p) == 2 and p[1]["values"][0] == 12.0
+
+
+def test_hot_segment_matches_brute_force(spark):
+    """One segment holds a third of the rows; results equal a plain Python pass."""
+    import random
+    rnd = random.Random(7)
+    rows = []
+    for seq in range(6000):
+        seg = 0 if seq % 3 == 0 else rnd.randrange(1, 200)
+        v = None if rnd.random() < 0.2 else round(rnd.uniform(0, 30), 2)
+        rows.append((seg, seq, v))
+    sr = spark.createDataFrame(rows, "segment_index long, seq long, Speed double").repartition(8)
+    got_latest = {r.segment_index: r.speed for r in H.latest_speed(sr).collect()}
+    got_hist = {}
+    for r in H.recent_history(sr, 96).collect():
+        got_hist.setdefault(r.segment_index, []).append((r.age, r.speed))
+    by_seg = {}
+    for seg, seq, v in rows:
+        by_seg.setdefault(seg, []).append((seq, v))
+    for seg, vals in by_seg.items():
+        vals.sort(reverse=True)
+        assert got_latest[seg] == vals[0][1]
+        want = [(age, v) for age, (_, v) in enumerate(vals[:96]) if v is not None]
+        assert sorted(got_hist.get(seg, [])) == want
