@@ -358,8 +358,10 @@ from ..sources import tables as TB  # noqa: E402
 SPLIT_SNAPSHOT = "19980415T000000"   # early / late halves of the snapshots
 
 
-def _parsed(spark, sf) -> DataFrame:
-    return P.parse_snapshot(SI.snapshots(spark, sf))
+def _parsed(spark, sf, reused: bool = False) -> DataFrame:
+    """Parsed stand-in snapshots; checkpointed once when read twice."""
+    parsed = P.parse_snapshot(SI.snapshots(spark, sf))
+    return parsed.checkpoint(eager=True) if reused else parsed
 
 
 def _lat_lng(df: DataFrame, col: str = "shape") -> DataFrame:
@@ -423,7 +425,7 @@ def first_seen(spark, sf):
 
 @query
 def new_shapes(spark, sf):
-    parsed = _parsed(spark, sf)
+    parsed = _parsed(spark, sf, reused=True)
     early = R.register_segments(parsed.filter(F.col("snapshot_ts") < SPLIT_SNAPSHOT),
                                 R.empty_registry(spark), created_at=RUN_TIME)
     late = parsed.filter(F.col("snapshot_ts") >= SPLIT_SNAPSHOT)
@@ -441,7 +443,7 @@ def register_segments(spark, sf):
 
 @query
 def register_incremental(spark, sf):
-    parsed = _parsed(spark, sf)
+    parsed = _parsed(spark, sf, reused=True)
     early = R.register_segments(parsed.filter(F.col("snapshot_ts") < SPLIT_SNAPSHOT),
                                 R.empty_registry(spark), created_at=RUN_TIME)
     full = R.register_segments(parsed.filter(F.col("snapshot_ts") >= SPLIT_SNAPSHOT), early,
@@ -451,7 +453,7 @@ def register_incremental(spark, sf):
 
 @query
 def attach_segment(spark, sf):
-    parsed = _parsed(spark, sf)
+    parsed = _parsed(spark, sf, reused=True)
     reg = R.register_segments(parsed, R.empty_registry(spark), created_at=RUN_TIME)
     return R.attach_segment(parsed, reg).select("seq", "segment_index")
 
