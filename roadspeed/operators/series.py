@@ -51,6 +51,18 @@ def series_matrix(df: DataFrame, col: str = "series", key: str = "segment_index"
                      explode_positions(F.col(col), "pos", "value")).filter(F.col("pos").isNotNull())
 
 
+def series_matrix_wide(matrix: DataFrame, width: int = NETWORK_WIDTH) -> DataFrame:
+    """Wide export of a width-padded long matrix: one row per (network,
+    pos), one column per variate ``"0"`` .. ``str(width-1)``.
+
+    The value list is given, so the pivot needs no extra job to find it;
+    each output row holds at most ``width`` values.
+    """
+    return (matrix.groupBy("network", "pos")
+            .pivot("variate", list(range(width)))
+            .agg(F.first("value")))
+
+
 def variate_position(df: DataFrame, width: int = NETWORK_WIDTH) -> DataFrame:
     """Network and column of each series: rank by segment_index, ``width``
     series per network (one network while there are <= width segments)."""

@@ -193,6 +193,8 @@ SELECT network, variate, t AS pos, v AS value FROM pad_raw
 UNION ALL
 SELECT network, variate, pos, 0.0 AS value FROM (
   SELECT network, unnest(range(w, target)) AS variate, L FROM tw) z, LATERAL (SELECT unnest(range(z.L)) AS pos)"""
+SQL["series_matrix_wide"] = SQL["pad_width"].replace("WITH ", "WITH pw AS (WITH ", 1) + """)
+PIVOT pw ON variate IN (""" + ", ".join(str(i) for i in range(325)) + """) USING first(value) GROUP BY network, pos"""
 STATS = """stats AS (SELECT segment_index, avg(speed) AS mean, sqrt(var_pop(speed) + 1e-5) AS stdev FROM hist GROUP BY 1)"""
 SQL["instance_norm"] = _with(SR, _hist(96), STATS) + """SELECT h.segment_index, (round(any_value(s.mean), 6) + 0.0) AS mean,
   (round(any_value(s.stdev), 6) + 0.0) AS stdev,

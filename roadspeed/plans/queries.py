@@ -262,6 +262,13 @@ def pad_width(spark, sf):
     return m.select("network", "variate", F.col("pos").cast("long").alias("pos"), "value")
 
 
+@query
+def series_matrix_wide(spark, sf):
+    ser = S.pad_series(S.variate_position(_series(spark, sf)), by="network")
+    m = S.pad_width(S.series_matrix(ser)).withColumn("pos", F.col("pos").cast("long"))
+    return S.series_matrix_wide(m)
+
+
 @query
 def instance_norm(spark, sf):
     out = S.instance_norm(_series(spark, sf))
