@@ -42,3 +42,22 @@ def test_speed_record_append_is_replay_safe(spark):
     TB.append_speed_records(sr, path)
     TB.append_speed_records(sr, path)
     assert TB.speed_records(spark, path).count() == 1
+
+
+def test_run_batch_replay_adds_nothing(spark):
+    from roadspeed.plans.etl import run_batch
+    docs = [{"results": [
+        {"location": {"description": "A", "shape": {"links": [{"points": [{"lat": 10.1, "lng": 106.2}]}]}},
+         "currentFlow": {"speed": 5.0}},
+        {"location": {"description": "", "shape": {"links": [{"points": [{"lat": 10.3, "lng": 106.4}]}]}},
+         "currentFlow": {"speed": 6.0}}], "seq": 7, "snapshot_ts": "20240101T000000"}]
+    text = spark.createDataFrame([(json.dumps(d),) for d in docs], "v string")
+    batch = text.select(F.from_json("v", SS.raw_read_schema()).alias("d")).select("d.*")
+    reg, tr, rec = (scratch_path(spark, n) for n in ("reg", "tr", "rec"))
+    for _ in range(2):
+        run_batch(batch, reg, tr, rec, ingested_at="2024-01-01 00:00:00")
+    registry = TB.registry(spark, reg)
+    assert sorted((r.segment_index, r.name) for r in registry.collect()) == [(1, "A"), (2, "segment_2")]
+    records = TB.speed_records(spark, rec)
+    assert sorted((r.segment_index, r.Speed) for r in records.collect()) == [(1, 5.0), (2, 6.0)]
+    assert TB.read_transformed(spark, tr).count() == 2
