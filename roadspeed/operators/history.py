@@ -41,6 +41,26 @@ def recent_history(sr: DataFrame, n: int = HISTORY_LEN) -> DataFrame:
                     F.col("Speed").alias("speed")))
 
 
+def empty_recent(spark) -> DataFrame:
+    """Initial (empty) state for ``update_recent``."""
+    return spark.createDataFrame([], "segment_index long, seq long, Speed double")
+
+
+def update_recent(state: DataFrame, new_records: DataFrame, n: int = HISTORY_LEN) -> DataFrame:
+    """Maintain the newest ``n`` records per segment incrementally.
+
+    ``state`` is the previous output of this function (segment_index, seq,
+    Speed, at most n rows per segment, nulls kept). A record outside the old
+    newest n is older than all of them and can never re-enter, so the newest
+    n of (state + new) equals the newest n of the full history. Each run
+    then costs segments x n rows instead of a scan of the whole store.
+    """
+    w = Window.partitionBy("segment_index").orderBy(F.col("seq").desc())
+    both = state.select("segment_index", "seq", "Speed").unionByName(
+        new_records.select("segment_index", "seq", "Speed"))
+    return (both.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn"))
+
+
 def series_array(hist: DataFrame, newest_first: bool = True) -> DataFrame:
     """Gather each segment's readings into one ordered array.
 

@@ -124,6 +124,7 @@ SQL["current_speed"] = _with(SR, LATEST, RG) + """SELECT l.segment_index, round(
   FROM latest l JOIN rg ON rg.segment_index = l.segment_index WHERE l.speed IS NOT NULL"""
 SQL["recent_history"] = _with(SR, _hist(96)) + "SELECT segment_index, seq, age, speed FROM hist"
 SQL["recent_history_short"] = _with(SR, _hist(24)) + "SELECT segment_index, seq, age, speed FROM hist"
+SQL["recent_history_incremental"] = SQL["recent_history"]
 SQL["series_array"] = _with(SR, _hist(96)) + """SELECT segment_index, list(speed ORDER BY age) AS series,
   count(*) AS n FROM hist GROUP BY 1"""
 SQL["max_history"] = _with(SR, _hist(96)) + "SELECT max(n) AS max_len FROM (SELECT segment_index, count(*) AS n FROM hist GROUP BY 1)"

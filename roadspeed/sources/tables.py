@@ -55,11 +55,18 @@ def append_speed_records(df: DataFrame, path: str, idempotent: bool = True,
     spark = df.sparkSession
     out = df.select(*SPEED_RECORDS.fieldNames()).withColumn("ingest_date", F.to_date("IngestedAt"))
     if idempotent and _exists(spark, path):
-        # Only the dates this batch touches are read: the semi join on the
-        # partition column lets dynamic partition pruning skip the rest.
-        stored = (spark.read.schema(_records_schema()).parquet(path).select("ingest_date", "seq")
-                  .join(out.select("ingest_date").distinct(), "ingest_date", "left_semi"))
-        out = out.join(stored, ["ingest_date", "seq"], "left_anti")
+        # Read back only what a replay of this batch could have written: the
+        # dates it touches (semi join on the partition column -> dynamic
+        # partition pruning) and its seq range as literals, which parquet
+        # min/max statistics use to skip every file of other batches (each
+        # append writes files holding only its own seq values).
+        bounds = out.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")).first()
+        if bounds["lo"] is not None:
+            stored = (spark.read.schema(_records_schema()).parquet(path)
+                      .filter(F.col("seq").between(int(bounds["lo"]), int(bounds["hi"])))
+                      .select("ingest_date", "seq")
+                      .join(out.select("ingest_date").distinct(), "ingest_date", "left_semi"))
+            out = out.join(stored, ["ingest_date", "seq"], "left_anti")
     (out.repartitionByRange(files, "segment_index", "seq")
         .sortWithinPartitions("segment_index", "seq")
         .write.mode("append").partitionBy("ingest_date").parquet(path))
