@@ -15,13 +15,20 @@ from pyspark.sql import functions as F
 from ..functions import geo as G
 from ..functions.metrics import kmh, speed_band
 from ..functions.names import api_name, display_name, registry_name
+from ..functions.shape import parse_shape, shape_center
+from ..functions.wavelet import explode_positions, soft
 from ..operators import denoise as D
 from ..operators import forecast as FC
 from ..operators import history as H
+from ..operators import parse as P
+from ..operators import records as RC
 from ..operators import registry as R
 from ..operators import serving as SV
 from ..operators import series as S
-from ..functions.wavelet import explode_positions
+from ..session import scratch_path
+from ..sources import snapshots as SS
+from ..sources import tables as TB
+from . import etl as ETL
 from . import standins as SI
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -325,7 +332,6 @@ def denoise_sigma(spark, sf):
 @query
 def soft_threshold(spark, sf):
     c = D.with_threshold(D.dwt_coeffs(_kmh_series(spark, sf)))
-    from ..functions.wavelet import soft
     c = c.withColumn("cds", soft(F.col("cd"), F.col("threshold")))
     return c.select("segment_index", explode_positions(F.col("cds"), "k", "v")) \
         .filter(F.col("k").isNotNull()) \
@@ -365,13 +371,6 @@ def forecast_network(spark, sf):
 
 # --- snapshots: parsing, shapes, registration -----------------------------
 
-from ..functions.shape import parse_shape, shape_center  # noqa: E402
-from ..operators import parse as P  # noqa: E402
-from ..operators import records as RC  # noqa: E402
-from ..plans import etl as ETL  # noqa: E402
-from ..session import scratch_path  # noqa: E402
-from ..sources import snapshots as SS  # noqa: E402
-from ..sources import tables as TB  # noqa: E402
 
 SPLIT_SNAPSHOT = "19980415T000000"   # early / late halves of the snapshots
 
