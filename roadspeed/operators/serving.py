@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import valid_segment
+from ..functions.geo import segment_text, valid_segment
 from ..functions.metrics import kmh
 from ..functions.names import api_name
 from ..functions.shape import parse_shape
@@ -49,7 +49,7 @@ def answer_requests(requests: DataFrame, view: DataFrame, kind: str = "predict")
     """
     req = requests.select("request_id", F.col("segment_index").cast("string").alias("_raw"))
     req = req.withColumn("_ok", valid_segment(F.col("_raw")))
-    req = req.withColumn("segment_index", F.when(F.col("_ok"), F.col("_raw").try_cast("long")))
+    req = req.withColumn("segment_index", F.when(F.col("_ok"), segment_text(F.col("_raw")).try_cast("long")))
     joined = req.join(view, "segment_index", "left")
     if kind == "current":
         found = F.col("current").isNotNull()

@@ -43,11 +43,13 @@ LATEST_PRED = """lp AS (SELECT segment_index, speed AS predict, seq FROM (
 
 REQ = """req AS (SELECT event_id AS request_id, CASE event_type
     WHEN 'click' THEN CAST(user_id AS VARCHAR) WHEN 'view' THEN CAST(user_id - 100 AS VARCHAR)
-    WHEN 'signup' THEN CAST(user_id + 1400 AS VARCHAR) WHEN 'purchase' THEN CAST(user_id AS VARCHAR) || '.5'
+    WHEN 'signup' THEN CAST(user_id + 1400 AS VARCHAR)
+    WHEN 'purchase' THEN CAST(user_id AS VARCHAR) || CASE WHEN user_id % 2 = 0 THEN '.0' ELSE '.5' END
     ELSE 'abc' END AS raw FROM events),
-  req2 AS (SELECT request_id, raw, coalesce(TRY_CAST(raw AS BIGINT) >= 1
-    AND TRY_CAST(raw AS DOUBLE) = CAST(TRY_CAST(raw AS BIGINT) AS DOUBLE), false) AS ok FROM req),
-  req3 AS (SELECT request_id, ok, CASE WHEN ok THEN TRY_CAST(raw AS BIGINT) END AS segment_index FROM req2)"""
+  req1 AS (SELECT request_id, regexp_replace(trim(raw), '\\.0*$', '') AS txt FROM req),
+  req2 AS (SELECT request_id, txt, coalesce(TRY_CAST(txt AS BIGINT) >= 1
+    AND TRY_CAST(txt AS DOUBLE) = CAST(TRY_CAST(txt AS BIGINT) AS DOUBLE), false) AS ok FROM req1),
+  req3 AS (SELECT request_id, ok, CASE WHEN ok THEN TRY_CAST(txt AS BIGINT) END AS segment_index FROM req2)"""
 
 VIEW = """view AS (SELECT rg.segment_index, rg.name, round(l.speed * 3.6, 2) AS current, lp.predict
   FROM rg LEFT JOIN latest l ON l.segment_index = rg.segment_index

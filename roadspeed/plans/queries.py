@@ -156,7 +156,8 @@ def _requests(spark, sf) -> DataFrame:
     raw = (F.when(F.col("event_type") == "click", uid.cast("string"))
            .when(F.col("event_type") == "view", (uid - 100).cast("string"))
            .when(F.col("event_type") == "signup", (uid + 1400).cast("string"))
-           .when(F.col("event_type") == "purchase", F.concat(uid.cast("string"), F.lit(".5")))
+           .when(F.col("event_type") == "purchase",
+                 F.concat(uid.cast("string"), F.when(uid % 2 == 0, F.lit(".0")).otherwise(F.lit(".5"))))
            .otherwise(F.lit("abc")))
     return ev.select(F.col("event_id").alias("request_id"), raw.alias("segment_index"))
 

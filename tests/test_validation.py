@@ -17,7 +17,7 @@ def test_location_bounds(spark):
 
 def test_segment_index_check(spark):
     rows = [("1", True), ("999999", True), ("0", False), ("-1", False), ("1.5", False),
-            ("abc", False), (None, False)]
+            ("abc", False), (None, False), ("5.0", True), ("5.", True), ("-1.0", False), (" 7 ", True)]
     df = spark.createDataFrame(rows, "raw string, expect boolean")
     got = df.select(valid_segment(F.col("raw")).alias("ok"), "expect").collect()
     assert all(r.ok == r.expect for r in got)
