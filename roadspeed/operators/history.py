@@ -55,10 +55,15 @@ def update_recent(state: DataFrame, new_records: DataFrame, n: int = HISTORY_LEN
     n of (state + new) equals the newest n of the full history. Each run
     then costs segments x n rows instead of a scan of the whole store.
     """
-    w = Window.partitionBy("segment_index").orderBy(F.col("seq").desc())
     both = state.select("segment_index", "seq", "Speed").unionByName(
         new_records.select("segment_index", "seq", "Speed"))
-    return (both.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn"))
+    # A replayed batch repeats seq values: keep one row per (segment, seq).
+    # Both windows cluster on segment_index, so they share one shuffle.
+    dup = Window.partitionBy("segment_index", "seq").orderBy(F.col("Speed").desc_nulls_last())
+    w = Window.partitionBy("segment_index").orderBy(F.col("seq").desc())
+    return (both.withColumn("_d", F.row_number().over(dup)).filter(F.col("_d") == 1)
+            .withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)
+            .drop("_d", "_rn"))
 
 
 def series_array(hist: DataFrame, newest_first: bool = True) -> DataFrame:

@@ -342,3 +342,4 @@ SQL["sink_speed_records"] = _with(SR) + """SELECT segment_index, seq, speed AS "
 SQL["sink_predictions"] = SQL["forecast_persistence"]
 SQL["stream_latest"] = SQL["latest_speed"]
 SQL["stream_ingest"] = _with(SN) + """SELECT seq, shape_hash, speed_ms AS "Speed" FROM recs"""
+SQL["stream_recent"] = SQL["recent_history"]

@@ -543,6 +543,20 @@ def stream_latest(spark, sf):
     return spark.read.parquet(out).select("segment_index", "speed", "seq")
 
 
+@query
+def stream_recent(spark, sf):
+    """Newest-96 state kept by a stream over four landed record files;
+    read back as history it equals ``recent_history`` over everything."""
+    from ..streaming.ingest import RECENT_SCHEMA, maintain_recent
+    src = scratch_path(spark, "records-src")
+    sr = SI.speed_records(spark, sf)
+    sr.repartitionByRange(4, "seq").write.parquet(src)
+    state = scratch_path(spark, "recent-state")
+    q = maintain_recent(spark, src, sr.schema, state, scratch_path(spark, "ckpt-recent"), max_files=1)
+    q.awaitTermination()
+    return H.recent_history(TB.read_state(spark, state, RECENT_SCHEMA))
+
+
 @query
 def stream_ingest(spark, sf):
     from ..streaming.ingest import stream_ingest as start

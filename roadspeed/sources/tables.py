@@ -96,3 +96,35 @@ def registry(spark: SparkSession, path: str) -> DataFrame:
         return spark.read.schema(REGISTRY).parquet(path)
     except AnalysisException:
         return spark.createDataFrame([], REGISTRY)
+
+
+# --- versioned state tables -------------------------------------------------
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Committed versions (``v=<n>`` folders holding a _SUCCESS marker)."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    if not fs.exists(root):
+        return []
+    out = []
+    for st in fs.listStatus(root):
+        name = st.getPath().getName()
+        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+            out.append(int(name[2:]))
+    return sorted(out)
+
+
+def read_state(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Newest committed version of a state table (empty when none)."""
+    versions = _versions(spark, path)
+    if not versions:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/v={versions[-1]}")
+
+
+def write_state(df: DataFrame, path: str, version: int) -> None:
+    """Write a new version; the previous one stays readable until this one
+    commits, so a failed write never loses the state."""
+    df.write.mode("overwrite").parquet(f"{path}/v={version}")

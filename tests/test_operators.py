@@ -99,3 +99,13 @@ def test_hot_segment_matches_brute_force(spark):
         assert got_latest[seg] == vals[0][1]
         want = [(age, v) for age, (_, v) in enumerate(vals[:96]) if v is not None]
         assert sorted(got_hist.get(seg, [])) == want
+
+
+def test_update_recent_is_replay_safe_and_bounded(spark):
+    rows = [(s, q, float(q)) for s in (1, 2) for q in range(10)]
+    batch = spark.createDataFrame(rows, "segment_index long, seq long, Speed double")
+    once = H.update_recent(H.empty_recent(spark), batch, 4)
+    twice = H.update_recent(once, batch, 4)
+    a = sorted(tuple(r) for r in once.collect())
+    assert a == sorted(tuple(r) for r in twice.collect())
+    assert a == sorted((s, q, float(q)) for s in (1, 2) for q in range(6, 10))
