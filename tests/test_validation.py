@@ -34,3 +34,22 @@ def test_request_status(spark):
     pred = {r.request_id: r.status for r in answer_requests(req, view, "predict").collect()}
     # predict answers 404 only when both name and current are missing
     assert pred == {1: 200, 2: 200, 3: 404, 4: 404, 5: 400, 6: 400}
+
+
+def test_bounding_box_never_drops_points_inside_the_circle(spark):
+    import random
+
+    from roadspeed.functions.geo import haversine_m, within_circle
+    rnd = random.Random(3)
+    centres = [(10.776889, 106.695278), (60.0, 10.0), (-45.0, -70.0), (85.0, 0.0),
+               (60.0, 175.0), (-20.0, -178.0), (88.0, 10.0)]
+    for lat0, lng0 in centres:
+        for radius in (15_000.0, 200_000.0, 1_000_000.0):
+            span = min(radius / 111_000.0 * 3, 60)
+            pts = [(max(-90.0, min(90.0, lat0 + rnd.uniform(-span, span))),
+                    (lng0 + rnd.uniform(-span * 3, span * 3) + 180.0) % 360.0 - 180.0) for _ in range(400)]
+            df = spark.createDataFrame(pts, "lat double, lng double")
+            got = df.select(
+                within_circle(F.col("lat"), F.col("lng"), lat0, lng0, radius).alias("fast"),
+                (haversine_m(F.col("lat"), F.col("lng"), lat0, lng0) <= radius).alias("exact")).collect()
+            assert all(r.fast == r.exact for r in got), (lat0, lng0, radius)
