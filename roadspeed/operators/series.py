@@ -96,10 +96,11 @@ def pad_width(matrix: DataFrame, width: int = NETWORK_WIDTH) -> DataFrame:
 def instance_norm(df: DataFrame, col: str = "series") -> DataFrame:
     """(x - mean) / sqrt(var_pop + 1e-5) per series; keeps mean and stdev."""
     n = F.size(col).cast("double")
-    mean = F.aggregate(col, F.lit(0.0), lambda a, v: a + v) / n
+    # try_divide: an empty series gives null statistics instead of an error.
+    mean = F.try_divide(F.aggregate(col, F.lit(0.0), lambda a, v: a + v), n)
     out = df.withColumn("mean", mean)
     sq = map_with(F.col(col), F.col("mean"), lambda v, m: (v - m) * (v - m))
-    var = F.aggregate(sq, F.lit(0.0), lambda a, v: a + v) / n
+    var = F.try_divide(F.aggregate(sq, F.lit(0.0), lambda a, v: a + v), n)
     out = out.withColumn("stdev", F.sqrt(var + F.lit(NORM_EPS)))
     stats = F.struct(F.col("mean").alias("m"), F.col("stdev").alias("s"))
     return out.withColumn("normed", map_with(F.col(col), stats, lambda v, st: (v - st["m"]) / st["s"]))

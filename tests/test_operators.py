@@ -109,3 +109,12 @@ def test_update_recent_is_replay_safe_and_bounded(spark):
     a = sorted(tuple(r) for r in once.collect())
     assert a == sorted(tuple(r) for r in twice.collect())
     assert a == sorted((s, q, float(q)) for s in (1, 2) for q in range(6, 10))
+
+
+def test_empty_series_give_nulls_not_errors(spark):
+    from roadspeed.operators import forecast as FC
+    df = spark.createDataFrame([(1, []), (2, [3.0, 5.0])], "segment_index long, series array<double>")
+    norm = {r.segment_index: (r.mean, r.stdev) for r in S.instance_norm(df).collect()}
+    assert norm[1] == (None, None) and norm[2][0] == 4.0
+    tr = {r.segment_index: r.f for r in df.select("segment_index", FC.trend(F.col("series"), 2).alias("f")).collect()}
+    assert tr[2] == [1.0, -1.0]          # line 3 + 2p, steps at p = -1, -2
