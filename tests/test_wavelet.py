@@ -55,3 +55,9 @@ def test_denoise_shrinks_noise(spark):
     df = spark.createDataFrame([(1, noisy.tolist())], "segment_index long, series array<double>")
     y = np.array(D.denoise(df, "series", scale=None).first().denoised)
     assert np.mean((y - clean) ** 2) < np.mean((noisy - clean) ** 2)
+
+
+def test_denoise_empty_series_is_null(spark):
+    df = spark.createDataFrame([(1, []), (2, [1.0, 2.0, 3.0])], "segment_index long, series array<double>")
+    got = {r.segment_index: r.denoised for r in D.denoise(df, "series", scale=None).collect()}
+    assert got[1] is None and len(got[2]) == 3
