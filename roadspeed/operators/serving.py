@@ -40,6 +40,16 @@ def prediction_view(registry: DataFrame, sr: DataFrame, pr: DataFrame) -> DataFr
             .join(pred, "segment_index", "left"))
 
 
+def parse_request_body(df: DataFrame, body: str = "body") -> DataFrame:
+    """Raw JSON request bodies -> (request_id, segment_index text).
+
+    A body that is not JSON, or lacks the key, yields a null index (answered
+    400); numbers and strings are both kept as their text.
+    """
+    m = F.from_json(F.col(body), "map<string,string>")
+    return df.select("request_id", m["segment_index"].alias("segment_index"))
+
+
 def answer_requests(requests: DataFrame, view: DataFrame, kind: str = "predict") -> DataFrame:
     """Answer a batch of requests (``request_id``, raw ``segment_index``).
 

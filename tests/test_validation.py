@@ -53,3 +53,15 @@ def test_bounding_box_never_drops_points_inside_the_circle(spark):
                 within_circle(F.col("lat"), F.col("lng"), lat0, lng0, radius).alias("fast"),
                 (haversine_m(F.col("lat"), F.col("lng"), lat0, lng0) <= radius).alias("exact")).collect()
             assert all(r.fast == r.exact for r in got), (lat0, lng0, radius)
+
+
+def test_request_bodies(spark):
+    from roadspeed.operators.serving import parse_request_body
+    view = spark.createDataFrame([(5, "A", 36.0, None)],
+                                 "segment_index long, name string, current double, predict array<double>")
+    bodies = spark.createDataFrame(
+        [(1, "{}"), (2, '{"segment_index": -1}'), (3, '{"segment_index": 5}'), (4, '{"segment_index": "5"}'),
+         (5, '{"segment_index": 5.0}'), (6, "not json"), (7, '{"segment_index": 6}')],
+        "request_id long, body string")
+    got = {r.request_id: r.status for r in answer_requests(parse_request_body(bodies), view, "current").collect()}
+    assert got == {1: 400, 2: 400, 3: 200, 4: 200, 5: 200, 6: 400, 7: 404}
