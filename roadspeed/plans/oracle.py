@@ -343,3 +343,19 @@ SQL["sink_predictions"] = SQL["forecast_persistence"]
 SQL["stream_latest"] = SQL["latest_speed"]
 SQL["stream_ingest"] = _with(SN) + """SELECT seq, shape_hash, speed_ms AS "Speed" FROM recs"""
 SQL["stream_recent"] = SQL["recent_history"]
+
+_BODY = """req AS (SELECT event_id AS request_id, json_extract_string(CASE event_type
+    WHEN 'click' THEN '{"segment_index": ' || CAST(user_id AS VARCHAR) || '}'
+    WHEN 'view' THEN '{"segment_index": "' || CAST(user_id AS VARCHAR) || '"}'
+    WHEN 'signup' THEN '{}'
+    WHEN 'purchase' THEN '{"segment_index": ' || CAST(user_id - 100 AS VARCHAR) || '}'
+    ELSE '{"segment_index": ' || CAST(user_id AS VARCHAR) || '.0}' END, '$.segment_index') AS raw FROM events),
+  req1 AS (SELECT request_id, regexp_replace(trim(raw), '\\.0*$', '') AS txt FROM req),
+  req2 AS (SELECT request_id, txt, coalesce(TRY_CAST(txt AS BIGINT) >= 1
+    AND TRY_CAST(txt AS DOUBLE) = CAST(TRY_CAST(txt AS BIGINT) AS DOUBLE), false) AS ok FROM req1),
+  req3 AS (SELECT request_id, ok, CASE WHEN ok THEN TRY_CAST(txt AS BIGINT) END AS segment_index FROM req2)"""
+SQL["answer_request_bodies"] = _with(SR, LATEST, RG, PR, LATEST_PRED, VIEW, _BODY) + """SELECT request_id, segment_index,
+  status, CASE WHEN status = 200 THEN current END AS current FROM (
+  SELECT r.request_id, r.segment_index,
+    CASE WHEN NOT r.ok THEN 400 WHEN v.current IS NULL THEN 404 ELSE 200 END AS status, v.current
+  FROM req3 r LEFT JOIN view v ON v.segment_index = r.segment_index)"""

@@ -162,6 +162,28 @@ def _requests(spark, sf) -> DataFrame:
     return ev.select(F.col("event_id").alias("request_id"), raw.alias("segment_index"))
 
 
+def _request_bodies(spark, sf) -> DataFrame:
+    """Raw JSON request bodies derived from events: numbers, strings,
+    zero-decimal numbers, empty bodies and non-positive ids."""
+    ev = SI.table(spark, sf, "events")
+    uid = F.col("user_id").cast("string")
+    et = F.col("event_type")
+    body = (F.when(et == "click", F.concat(F.lit('{"segment_index": '), uid, F.lit("}")))
+            .when(et == "view", F.concat(F.lit('{"segment_index": "'), uid, F.lit('"}')))
+            .when(et == "signup", F.lit("{}"))
+            .when(et == "purchase", F.concat(F.lit('{"segment_index": '),
+                                             (F.col("user_id") - 100).cast("string"), F.lit("}")))
+            .otherwise(F.concat(F.lit('{"segment_index": '), uid, F.lit(".0}"))))
+    return ev.select(F.col("event_id").alias("request_id"), body.alias("body"))
+
+
+@query
+def answer_request_bodies(spark, sf):
+    view = SV.prediction_view(SI.registry(spark, sf), SI.speed_records(spark, sf),
+                              SI.predictions(spark, sf))
+    return SV.answer_requests(SV.parse_request_body(_request_bodies(spark, sf)), view, "current")
+
+
 @query
 def request_status(spark, sf):
     view = SV.prediction_view(SI.registry(spark, sf), SI.speed_records(spark, sf),
