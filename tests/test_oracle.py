@@ -11,6 +11,8 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 import __spark_entry__ as E  # noqa: E402
 from oracle_check import TABLES, norm  # noqa: E402
 
+from roadspeed.plans.queries import QUERIES  # noqa: E402
+
 SF = "/root/testdata/sf0.001"
 SLOW = {"src_snapshot_json", "sink_transformed_roundtrip", "stream_ingest"}
 
@@ -24,10 +26,10 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(QUERIES) <= set(E.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - SLOW) + sorted(SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW) + sorted(SLOW))
 def test_query_matches_oracle(spark, duck, name):
     df = E.queries()[name](spark, SF)
     cols = df.columns
