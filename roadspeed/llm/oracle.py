@@ -44,7 +44,26 @@ FROM lines d LEFT JOIN best b ON b.doc_id = d.doc_id GROUP BY d.doc_id, d.n_line
 """
 
 
+DECONTAMINATE = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                   'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS l FROM documents),
+bw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                   'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS l FROM benchmark),
+bn AS (SELECT item_id, l, least(len(l), 10) AS n FROM bw WHERE len(l) > 0),
+bp AS (SELECT item_id, l, n, unnest(range(1, len(l) - n + 2)) AS p FROM bn),
+bk AS (SELECT DISTINCT item_id, n, array_to_string(l[p:p + n - 1], ' ') AS k FROM bp),
+dp AS (SELECT doc_id, l, n, unnest(range(1, len(l) - n + 2)) AS p FROM dw, (SELECT DISTINCT n FROM bk) WHERE len(l) >= n),
+hit AS (SELECT dp.doc_id, dp.p, dp.n, bk.item_id FROM dp JOIN bk ON bk.n = dp.n AND bk.k = array_to_string(dp.l[dp.p:dp.p + dp.n - 1], ' ')),
+cov AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hit) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS s
+        FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hit) GROUP BY doc_id)
+SELECT dw.doc_id, len(l)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+
 SQL = {
+    "op1_decontaminate": DECONTAMINATE,
     "op2_exact_dedup": EXACT_DEDUP,
     "op4_license_scan": license_sql(license_scan.TEMPLATES, license_scan.THRESHOLD),
 }
