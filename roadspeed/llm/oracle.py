@@ -62,8 +62,22 @@ SELECT dw.doc_id, len(l)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coales
 FROM dw LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
+SUBSTRING_DEDUP = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS l FROM documents),
+p AS (SELECT doc_id, l, unnest(range(1, len(l) - 18)) AS p FROM d WHERE len(l) >= 20),
+k AS (SELECT doc_id, p, array_to_string(l[p:p + 19], ' ') AS k FROM p),
+late AS (SELECT doc_id, p FROM k QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, p) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS q FROM late),
+word AS (SELECT doc_id, unnest(l) AS w, generate_subscripts(l, 1) AS q FROM d),
+kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY q) AS s, count(*) AS n
+         FROM word ANTI JOIN gone USING (doc_id, q) GROUP BY doc_id)
+SELECT d.doc_id, len(l)::BIGINT AS n_words, len(l)::BIGINT - coalesce(n, 0) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
 SQL = {
     "op1_decontaminate": DECONTAMINATE,
+    "op10_substring_dedup": SUBSTRING_DEDUP,
     "op2_exact_dedup": EXACT_DEDUP,
     "op4_license_scan": license_sql(license_scan.TEMPLATES, license_scan.THRESHOLD),
 }

@@ -14,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Odd multipliers of two independent word hashes.
+BASES = (0x9E3779B97F4A7C15, 0xA0761D6478BD642F)
 _MIX1, _MIX2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 _STEP = U64(0xD6E8FEB86659FD93)
 
@@ -40,19 +40,19 @@ ALNUM = _alnum()
 #: Everything but space and the controls 9 to 13, unchanged; words `[^\x20\x09-\x0D]+`.
 SPACED = _spaced()
 
-_powers = {"up": np.ones(1, U64), "down": np.ones(1, U64)}
+_powers: dict[int, np.ndarray] = {}
 
 
-def _power(kind: str, base: int, n: int) -> np.ndarray:
-    have = _powers[kind]
-    if len(have) < n:
+def _power(base: int, n: int) -> np.ndarray:
+    have = _powers.get(base)
+    if have is None or len(have) < n:
         size = max(n, 1 << 16)
         have = np.full(size, base, U64)
         have[0] = 1
         have = np.multiply.accumulate(have)
         # A long text's powers are not held on to.
         if size <= 1 << 21:
-            _powers[kind] = have
+            _powers[base] = have
     return have[:n]
 
 
@@ -117,8 +117,9 @@ def chunks(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int
         i = j
 
 
-def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Words:
-    """Words and their hashes; ``offsets`` are the texts' places in ``data``, the first 0."""
+def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, which: int = 0) -> Words:
+    """Words and their hashes; ``offsets`` are the texts' places in ``data``, the first 0; ``which`` picks the hash."""
+    base = BASES[which]
     m = table[data]
     n = len(m)
     inside = m != 0
@@ -136,8 +137,8 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Words:
     stop = np.flatnonzero(inside & ~after) + 1
     total = np.empty(n + 1, U64)
     total[0] = 0
-    np.cumsum(m * _power("up", _BASE, n), dtype=U64, out=total[1:])
-    h = (total[stop] - total[start]) * _power("down", _INVERSE, n + 1)[start]
+    np.cumsum(m * _power(base, n), dtype=U64, out=total[1:])
+    h = (total[stop] - total[start]) * _power(pow(base, -1, 1 << 64), n + 1)[start]
     return Words(m, start, stop, np.searchsorted(start, offsets[1:], "left"), mix(h))
 
 
