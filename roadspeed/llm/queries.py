@@ -4,8 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roadspeed.llm import decontaminate, exact_dedup, license_scan, oracle, substring_dedup, url_filter
+from roadspeed.llm import decontaminate, exact_dedup, license_scan, oracle, substring_dedup, token_counts, token_files, url_filter
 from roadspeed.llm.frames import table
+from roadspeed.session import scratch_path
+
+
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer file, the same on every node."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,9 +32,20 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "token-ids")
+    token_files.write_ids(table(spark, sf_dir, "documents"), folder, tokenizer("byte_bpe_50k.json"))
+    return token_files.read_digests(spark, folder)
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_exact_dedup, op3_url_filter, op4_license_scan, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_exact_dedup, op3_url_filter, op4_license_scan, op5_token_counts,
+                                  op7_token_files, op10_substring_dedup)}
 SQL = oracle.SQL
