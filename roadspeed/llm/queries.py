@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roadspeed.llm import decontaminate, exact_dedup, license_scan, oracle, quality, substring_dedup, token_counts, token_files, url_filter
+from roadspeed.llm import decontaminate, exact_dedup, license_scan, oracle, pieces, quality, substring_dedup, token_counts, token_files, url_filter
 from roadspeed.llm.frames import table
 from roadspeed.session import scratch_path
 
@@ -36,6 +36,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "token-ids")
     token_files.write_ids(table(spark, sf_dir, "documents"), folder, tokenizer("byte_bpe_50k.json"))
@@ -50,6 +54,6 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_exact_dedup, op3_url_filter, op4_license_scan, op5_token_counts,
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_exact_dedup, op3_url_filter, op4_license_scan, op5_token_counts, op6_sentencepiece,
                                   op7_token_files, op8_quality_classifier, op10_substring_dedup)}
 SQL = oracle.SQL
