@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roadspeed.llm import decontaminate, exact_dedup, license_scan, oracle, pieces, quality, substring_dedup, token_counts, token_files, url_filter
+from roadspeed.llm import decontaminate, exact_dedup, jaccard_join, license_scan, oracle, pieces, quality, substring_dedup, token_counts, token_files, url_filter
 from roadspeed.llm.frames import table
 from roadspeed.session import scratch_path
 
@@ -50,10 +50,14 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_exact_dedup, op3_url_filter, op4_license_scan, op5_token_counts, op6_sentencepiece,
-                                  op7_token_files, op8_quality_classifier, op10_substring_dedup)}
+                                  op7_token_files, op8_quality_classifier, op9_jaccard_join, op10_substring_dedup)}
 SQL = oracle.SQL
