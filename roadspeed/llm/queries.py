@@ -4,18 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from roadspeed.llm import decontaminate, exact_dedup, jaccard_join, license_scan, oracle, pieces, quality, substring_dedup, token_counts, token_files, url_filter
-from roadspeed.llm.frames import table
+from roadspeed.llm.frames import table, tokenizer
 from roadspeed.session import scratch_path
 
 
-def tokenizer(name: str) -> str:
-    """The place of a public tokenizer file, the same on every node."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
@@ -60,4 +54,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_exact_dedup, op3_url_filter, op4_license_scan, op5_token_counts, op6_sentencepiece,
                                   op7_token_files, op8_quality_classifier, op9_jaccard_join, op10_substring_dedup)}
-SQL = oracle.SQL
+QUERIES["pipeline"] = corpus_pipeline.run
+SQL = oracle.SQL | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
