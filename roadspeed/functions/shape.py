@@ -9,6 +9,9 @@ assembled from parts here.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,7 +26,49 @@ def _is_int_token(tok: Column) -> Column:
 
 def coord_value(tok: Column, digits: int = COORD_DIGITS) -> Column:
     """Raw coordinate token -> rounded double (integers are exact already)."""
-    return F.round(tok.cast("double"), digits)
+    return let(tok.cast("double"), lambda x: round_binary(x, digits))
+
+
+def round_binary(x: Column, digits: int = COORD_DIGITS) -> Column:
+    """Round the exact binary value of ``x`` half to even, as Python's ``round``.
+
+    ``|x|`` times a power of two is an integer X (below 2**63), so ``|x| * 10**digits``
+    is ``X * 10**digits / 2**s`` and its distance to the midpoint is exact in
+    decimals. The power suits the size of x, so that no bit of x is lost (but for
+    values below 2**-23, which round to 0). Values of 256 and more are no
+    coordinates and are rounded on their decimal text.
+    """
+    tens = 10 ** digits
+
+    def scaled(v: Column) -> Column:
+        size = F.abs(v)
+        power = F.when(size < 2.0 ** -12, 75).when(size < 0.125, 64).otherwise(55)
+        unit = F.when(size < 2.0 ** -12, F.lit(Decimal(2 ** 75))).when(size < 0.125, F.lit(Decimal(2 ** 64)).cast("decimal(23,0)"))
+        return F.struct(v.alias("x"), F.floor(size * F.pow(F.lit(2.0), power)).cast("bigint").alias("whole"),
+                        unit.otherwise(F.lit(Decimal(2 ** 55)).cast("decimal(23,0)")).alias("unit"),
+                        F.floor(size * F.lit(float(tens))).cast("bigint").alias("guess"))
+
+    def rest(v: Column) -> Column:
+        exact = v["whole"].cast("decimal(20,0)") * F.lit(Decimal(tens)).cast("decimal(12,0)")
+        return F.struct(v["x"].alias("x"), v["unit"].alias("unit"), v["guess"].alias("guess"),
+                        (exact - v["guess"].cast("decimal(18,0)") * v["unit"]).cast("decimal(38,0)").alias("rest"))
+
+    def nearest(v: Column) -> Column:
+        # The guess comes from a rounded product and may be one off.
+        by = F.when(v["rest"] < 0, -1).when(v["rest"] >= v["unit"], 1).otherwise(0)
+        twice = (v["rest"] - by.cast("decimal(2,0)") * v["unit"]) * 2
+        k = v["guess"] + by
+        up = (twice > v["unit"]) | ((twice == v["unit"]) & (k % 2 == 1))
+        near = (k + F.when(up, 1).otherwise(0)).cast("double") / F.lit(float(tens))
+        return F.when(v["x"] == 0, v["x"]).otherwise(near * F.signum(v["x"]))
+
+    exactly = let(let(let(x, scaled), rest), nearest)
+    return F.when(x.isNull(), F.lit(None).cast("double")).when(F.abs(x) < 256, exactly).otherwise(F.round(x, digits))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
 
 
 def _py_small_text(r: Column) -> Column:
@@ -39,7 +84,10 @@ def _py_small_text(r: Column) -> Column:
 
 def coord_text(tok: Column, digits: int = COORD_DIGITS) -> Column:
     """Text Python's json.dumps prints for ``round(token, digits)``."""
-    r = coord_value(tok, digits)
+    return let(coord_value(tok, digits), lambda r: _text(tok, r, digits))
+
+
+def _text(tok: Column, r: Column, digits: int) -> Column:
     # Plain decimal text of the rounded value, trailing zeros trimmed.
     fixed = F.regexp_replace(r.try_cast(f"decimal(38,{digits})").cast("string"), "0+$", "")
     fixed = F.when(fixed.endswith("."), F.concat(fixed, F.lit("0"))).otherwise(fixed)

@@ -19,9 +19,15 @@ def latest_speed(sr: DataFrame) -> DataFrame:
 
 
 def latest_prediction(pr: DataFrame) -> DataFrame:
-    """Newest forecast array per segment (null unless it is an array)."""
-    return pr.groupBy("segment_index").agg(
-        F.max_by("Speed", "seq").alias("predict"), F.max("seq").alias("seq"))
+    """Newest forecast array per segment (null unless it is an array).
+
+    The newest ``seq`` is a hash aggregate; only the arrays it names are then
+    fetched. Of rows that share segment and seq one is kept.
+    """
+    newest = pr.groupBy("segment_index").agg(F.max("seq").alias("seq"))
+    found = pr.select("segment_index", "seq", F.col("Speed").alias("predict")).join(newest, ["segment_index", "seq"], "left_semi")
+    known = found.dropDuplicates(["segment_index", "seq"])
+    return newest.join(known, ["segment_index", "seq"], "left").select("segment_index", "predict", "seq")
 
 
 def recent_history(sr: DataFrame, n: int = HISTORY_LEN) -> DataFrame:
@@ -57,13 +63,14 @@ def update_recent(state: DataFrame, new_records: DataFrame, n: int = HISTORY_LEN
     """
     both = state.select("segment_index", "seq", "Speed").unionByName(
         new_records.select("segment_index", "seq", "Speed"))
-    # A replayed batch repeats seq values: keep one row per (segment, seq).
-    # Both windows cluster on segment_index, so they share one shuffle.
-    dup = Window.partitionBy("segment_index", "seq").orderBy(F.col("Speed").desc_nulls_last())
+    # The newest n distinct seq values first (cut before the shuffle, too), then
+    # one row per (segment, seq), as a replayed batch repeats seq values. The
+    # second window is satisfied by the first one's partitioning.
     w = Window.partitionBy("segment_index").orderBy(F.col("seq").desc())
-    return (both.withColumn("_d", F.row_number().over(dup)).filter(F.col("_d") == 1)
-            .withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)
-            .drop("_d", "_rn"))
+    dup = Window.partitionBy("segment_index", "seq").orderBy(F.col("Speed").desc_nulls_last())
+    return (both.withColumn("_rank", F.dense_rank().over(w)).filter(F.col("_rank") <= n)
+            .withColumn("_d", F.row_number().over(dup)).filter(F.col("_d") == 1)
+            .drop("_d", "_rank"))
 
 
 def series_array(hist: DataFrame, newest_first: bool = True) -> DataFrame:

@@ -20,15 +20,18 @@ def drop_sentinel(registry: DataFrame) -> DataFrame:
 def first_seen(records: DataFrame) -> DataFrame:
     """One row per shape hash: name and shape of its earliest record.
 
-    A partial aggregate (min_by) runs before the shuffle, so a hash that
-    holds a large share of the rows costs one small row per map task.
+    The earliest ``seq`` is a hash aggregate with partial sums before the
+    shuffle, so a hash that holds a large share of the rows costs one small row
+    per map task; name and shape are then fetched for the named records only.
     """
-    return (records.groupBy("shape_hash")
-            .agg(F.min_by(F.struct("name", "shape_json"), "seq").alias("_first"),
-                 F.min("seq").alias("first_seq"))
-            .select("shape_hash", "first_seq",
-                    F.col("_first.name").alias("name"),
-                    F.col("_first.shape_json").alias("shape_json")))
+    return _described(records, records.groupBy("shape_hash").agg(F.min("seq").alias("first_seq")))
+
+
+def _described(records: DataFrame, first: DataFrame) -> DataFrame:
+    """Add name and shape text of the record (shape_hash, first_seq) to each row of ``first``."""
+    texts = (records.select("shape_hash", F.col("seq").alias("first_seq"), "name", "shape_json")
+             .join(first, ["shape_hash", "first_seq"], "left_semi").dropDuplicates(["shape_hash", "first_seq"]))
+    return first.join(texts, ["shape_hash", "first_seq"]).select("shape_hash", "first_seq", "name", "shape_json")
 
 
 def new_shapes(records: DataFrame, registry: DataFrame) -> DataFrame:
@@ -48,10 +51,11 @@ def register_new(records: DataFrame, registry: DataFrame, created_at=None) -> Da
     the numbering is bucketed (no single-task window). Replaying the same
     records against the updated registry yields no rows.
     """
-    # Aggregate first: min_by is partial before its shuffle, so a shape that
+    # Aggregate first: the minimum is partial before its shuffle, so a shape that
     # holds a large share of the records never lands whole in one task; the
-    # anti-join then runs on distinct shapes only.
-    fresh = new_shapes(first_seen(records), registry)
+    # anti-join then runs on distinct shapes, and texts are fetched for new ones only.
+    first = records.groupBy("shape_hash").agg(F.min("seq").alias("first_seq"))
+    fresh = _described(records, new_shapes(first, registry))
     top = registry.agg(F.max("segment_index").alias("m")).first()["m"]
     start = int(top or 0) + 1
     numbered = dense_ordinal(fresh, "first_seq", "segment_index", start=start)

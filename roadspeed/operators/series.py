@@ -51,13 +51,18 @@ def series_matrix(df: DataFrame, col: str = "series", key: str = "segment_index"
                      explode_positions(F.col(col), "pos", "value")).filter(F.col("pos").isNotNull())
 
 
-def series_matrix_wide(matrix: DataFrame, width: int = NETWORK_WIDTH) -> DataFrame:
+def series_matrix_wide(matrix: DataFrame, width: int | None = None) -> DataFrame:
     """Wide export of a width-padded long matrix: one row per (network,
     pos), one column per variate ``"0"`` .. ``str(width-1)``.
 
-    The value list is given, so the pivot needs no extra job to find it;
-    each output row holds at most ``width`` values.
+    Without ``width`` there are as many columns as the matrix has variates,
+    NETWORK_WIDTH at least. A variate beyond a given ``width`` raises.
     """
+    top = matrix.agg(F.max("variate").alias("m")).first()["m"]
+    have = 0 if top is None else int(top) + 1
+    if width is not None and have > width:
+        raise ValueError(f"the matrix has {have} variates, more than {width}")
+    width = width or max(NETWORK_WIDTH, have)
     return (matrix.groupBy("network", "pos")
             .pivot("variate", list(range(width)))
             .agg(F.first("value")))
@@ -66,7 +71,8 @@ def series_matrix_wide(matrix: DataFrame, width: int = NETWORK_WIDTH) -> DataFra
 def variate_position(df: DataFrame, width: int = NETWORK_WIDTH) -> DataFrame:
     """Network and column of each series: rank by segment_index, ``width``
     series per network (one network while there are <= width segments)."""
-    ranked = dense_ordinal(df, "segment_index", "_ord", start=0)
+    # Only the keys are numbered and checkpointed; the series are joined back.
+    ranked = df.join(dense_ordinal(df.select("segment_index"), "segment_index", "_ord", start=0), "segment_index")
     return (ranked.withColumn("network", F.floor(F.col("_ord") / width).cast("long"))
             .withColumn("variate", (F.col("_ord") % width).cast("long")).drop("_ord"))
 

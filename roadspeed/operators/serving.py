@@ -15,12 +15,17 @@ from . import history as H
 def segments_with_history(registry: DataFrame, sr: DataFrame, n: int = H.HISTORY_LEN) -> DataFrame:
     """Registered segments with at least one non-null value among their
     newest n records."""
-    return registry.join(H.recent_history(sr, n).select("segment_index"), "segment_index", "left_semi")
+    return registry.join(_with_values(sr, n), "segment_index", "left_semi")
+
+
+def _with_values(sr: DataFrame, n: int) -> DataFrame:
+    """Segments with a value among their newest n records, one row each."""
+    return H.recent_history(sr, n).groupBy("segment_index").agg(F.count(F.lit(1)).alias("_n")).select("segment_index")
 
 
 def silent_segments(registry: DataFrame, sr: DataFrame, n: int = H.HISTORY_LEN) -> DataFrame:
     """Registered segments without usable history."""
-    return registry.join(H.recent_history(sr, n).select("segment_index"), "segment_index", "left_anti")
+    return registry.join(_with_values(sr, n), "segment_index", "left_anti")
 
 
 def current_speed(registry: DataFrame, sr: DataFrame) -> DataFrame:
@@ -60,7 +65,12 @@ def answer_requests(requests: DataFrame, view: DataFrame, kind: str = "predict")
     req = requests.select("request_id", F.col("segment_index").cast("string").alias("_raw"))
     req = req.withColumn("_ok", valid_segment(F.col("_raw")))
     req = req.withColumn("segment_index", F.when(F.col("_ok"), segment_text(F.col("_raw")).try_cast("long")))
-    joined = req.join(view, "segment_index", "left")
+    # Rejected requests share no key and take no part in the join; the view is
+    # cut to the requested segments first.
+    asked = req.filter(F.col("segment_index").isNotNull())
+    rejected = req.filter(F.col("segment_index").isNull())
+    wanted = view.join(asked.select("segment_index").distinct(), "segment_index", "left_semi")
+    joined = asked.join(wanted, "segment_index", "left").unionByName(rejected, allowMissingColumns=True)
     if kind == "current":
         found = F.col("current").isNotNull()
         cols = ["current"]
@@ -72,6 +82,18 @@ def answer_requests(requests: DataFrame, view: DataFrame, kind: str = "predict")
                          *[F.when(status == 200, F.col(c)).alias(c) for c in cols])
 
 
+def answer_notices(requests: DataFrame, forecasts: DataFrame) -> DataFrame:
+    """Answer update notices (``request_id``, ``notice``): 400 unless the notice is
+    ``update``, else 200 with the number of forecasts of the run it starts.
+
+    ``forecasts`` is that run's output; a batch of notices starts one run.
+    """
+    count = forecasts.agg(F.count(F.lit(1)).alias("_n"))  # one row
+    ok = F.coalesce(F.col("notice") == "update", F.lit(False))
+    return (requests.crossJoin(F.broadcast(count))
+            .select("request_id", F.when(ok, 200).otherwise(400).alias("status"), F.when(ok, F.col("_n")).alias("forecasted")))
+
+
 def list_segments(registry: DataFrame) -> DataFrame:
     """(segment_index, name, shape points) ordered by index."""
     return (registry.select("segment_index", api_name(F.col("name")).alias("name"),

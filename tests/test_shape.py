@@ -50,3 +50,19 @@ def test_parse_shape_and_center(spark):
         F.size("p").alias("n"), S.shape_center(F.col("p")).alias("c")).collect()
     assert out[0].n == 2 and (out[0].c.lat, out[0].c.lng) == (2.0, 4.0)
     assert out[1].n == 0 and (out[1].c.lat, out[1].c.lng) == (10.776889, 106.695278)
+
+
+def test_rounding_equals_python_on_ties_and_elsewhere(spark):
+    import random
+    from pyspark.sql import functions as F
+    from roadspeed.functions.shape import coord_text
+    rng = random.Random(5)
+    toks = [f"{rng.randint(-179, 179)}.{rng.randint(0, 999999):06d}5" for _ in range(1500)]
+    toks += [f"{s}0.{rng.randint(0, 1249):04d}{rng.randint(0, 99):02d}5" for s in ("", "-") for _ in range(300)]
+    toks += [repr(k / 128) for k in range(-200, 200)] + ["10.7760015", "0.0000005", "-0.0000005", "0.0000015", "4e-7", "0.124999999999", "255.9999995"]
+    toks += [repr(rng.uniform(-180, 180)) for _ in range(500)]
+    df = spark.createDataFrame([(t,) for t in toks], "t string").repartition(4)
+    for t, got in df.select("t", coord_text(F.col("t"))).collect():
+        x = float(t)
+        want = repr(round(x, 6)) if not t.lstrip("-").isdigit() else t
+        assert got == want, (t, got, want)
