@@ -10,8 +10,10 @@ is encoded whole by the library.
 from __future__ import annotations
 
 import json
+import os
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 #: Letters of Latin-1 and Latin Extended A. Capital I with dot grows when lower-cased and is left out.
 _LETTER = "A-Za-zÀ-ÖØ-öø-įı-ſ"
@@ -24,6 +26,9 @@ WORD_END = re.compile(rf"{_CONTRACTION}|[{_LETTER}]+|[0-9]|[^{_SPACE}{_LETTER}0-
 #: Letters, digits or the rest, each with at most one space before; white space kept.
 BYTE_LEVEL = re.compile(rf"{_CONTRACTION}| ?[{_LETTER}]+| ?[0-9]+| ?[^{_SPACE}{_LETTER}0-9]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
+#: Characters of texts that are split together.
+GROUP = 600_000
+
 _CUT = re.compile(rf"[^{_SPACE}](?= [^{_SPACE}])")
 
 
@@ -57,24 +62,37 @@ class Splitter:
         special = [re.escape(t["content"]) for t in spec.get("added_tokens", [])]
         self.special = re.compile("|".join(special)) if special else None
 
+    def tokens(self, text: str) -> list[str] | None:
+        """All pre-tokens of a short text at once."""
+        return None if self.whole(text) else self.pattern.findall(text.lower() if self.lower else text)
+
     def split(self, text: str) -> Iterator[list[str]] | None:
-        if not text.isascii() and _UNSAFE.search(text):
-            return None
-        if self.special is not None and "<|" in text and self.special.search(text):
+        if self.whole(text):
             return None
         return (self.pattern.findall(p.lower() if self.lower else p) for p in pieces(text))
 
+    def whole(self, text: str) -> bool:
+        """Whether the library has to see the text as a whole."""
+        if not text.isascii() and _UNSAFE.search(text):
+            return True
+        return self.special is not None and "<|" in text and self.special.search(text) is not None
+
+
+_KEPT: dict[tuple, CachedEncoder] = {}
+
 
 class CachedEncoder:
     """Two tiers: a given table of frequent pre-tokens, and what this worker has met since.
 
-    ``value`` turns the ids of a pre-token or text into what is kept and summed up
-    by the caller. The second tier starts anew when it holds ``limit`` entries, so
+    ``value`` turns the ids of a pre-token or text into what is kept and put together
+    by the caller. The second tier has two generations of ``limit`` entries: when
+    the younger is full it becomes the older, and what is met again moves over, so
     memory is bounded whatever the texts.
     """
 
     def __init__(self, path: str, value: Callable[[list[int]], object], table: dict[str, object] | None = None,
                  limit: int = 200_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task, one core
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -84,27 +102,59 @@ class CachedEncoder:
         self.library.no_padding()
         self.splitter = Splitter(spec)
         self.value, self.table, self.limit = value, table or {}, limit
-        self.known = dict(self.table)
+        self.known, self.older = dict(self.table), {}
+
+    @classmethod
+    def kept(cls, key: tuple, make: Callable[[], CachedEncoder]) -> CachedEncoder:
+        """This worker's encoder of a key, kept from task to task; another key replaces it."""
+        if key not in _KEPT:
+            _KEPT.clear()
+            _KEPT[key] = make()
+        return _KEPT[key]
 
     def encode(self, texts: list[str]) -> list:
         return [self.value(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def pieces(self, text: str) -> Iterator[list]:
-        """Values of the text's pre-tokens in order, piece by piece; one value for a text that isn't split."""
+    def values(self, texts: Iterable[str]) -> Iterator[Iterator[list]]:
+        """Per text an iterator of lists of values, in order; each is to be used up before the next.
+
+        Short texts are split together, so that what is new in them is encoded in one call.
+        """
+        group, size = [], 0
+        for text in texts:
+            if len(text) > GROUP:
+                yield from self._group(group)
+                group, size = [], 0
+                yield self._long(text)
+                continue
+            group.append(text)
+            size += len(text)
+            if size > GROUP:
+                yield from self._group(group)
+                group, size = [], 0
+        yield from self._group(group)
+
+    def _group(self, texts: list[str]) -> Iterator[Iterator[list]]:
+        tokens = [self.splitter.tokens(t) for t in texts]
+        self._learn(set(chain.from_iterable(t for t in tokens if t is not None)))
+        known = self.known.__getitem__
+        for text, own in zip(texts, tokens):
+            yield iter([self.encode([text]) if own is None else list(map(known, own))])
+
+    def _long(self, text: str) -> Iterator[list]:
         split = self.splitter.split(text)
         if split is None:
             yield self.encode([text])
             return
-        for tokens in split:
-            try:
-                yield list(map(self.known.__getitem__, tokens))
-            except KeyError:
-                yield self._learn(tokens)
-
-    def _learn(self, tokens: list[str]) -> list:
-        new = list(set(tokens).difference(self.known))
-        if len(self.known) + len(new) > self.limit + len(self.table):
-            self.known = dict(self.table)
-            new = list(set(tokens).difference(self.known))
-        self.known.update(zip(new, self.encode(new)))
-        return list(map(self.known.__getitem__, tokens))
+        for own in split:
+            self._learn(set(own))
+            yield list(map(self.known.__getitem__, own))
+
+    def _learn(self, tokens: set[str]) -> None:
+        if len(self.known) > self.limit + len(self.table):
+            self.known, self.older = dict(self.table), self.known
+        need = tokens.difference(self.known)
+        new = need.difference(self.older)
+        self.known.update((t, self.older[t]) for t in need - new)
+        ordered = list(new)
+        self.known.update(zip(ordered, self.encode(ordered)))

@@ -11,11 +11,12 @@ Pre-tokens of documents are never shuffled, only the summaries are.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadspeed.llm.frames import session, text_of
@@ -61,11 +62,22 @@ def frequent_lengths(df: DataFrame, path: str, text_col: str = "text", size: int
     return dict(zip(tokens, CachedEncoder(path, len).encode(tokens)))
 
 
+class Frequent:
+    """The broadcast table, with a name by which a worker knows it again."""
+
+    def __init__(self, spark: SparkSession, lengths: dict[str, int]):
+        self.sent, self.id = spark.sparkContext.broadcast(lengths), uuid.uuid4().hex
+
+    @property
+    def value(self) -> dict[str, int]:
+        return self.sent.value
+
+
 def _count(path: str, shared):
     def run(batches):
-        encoder = CachedEncoder(path, len, shared.value)
+        encoder = CachedEncoder.kept((path, "counts", shared.id), lambda: CachedEncoder(path, len, shared.value))
         for batch in batches:
-            counts = [sum(map(sum, encoder.pieces(t))) for t in batch.column(2).to_pylist()]
+            counts = [sum(map(sum, lists)) for lists in encoder.values(batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64())],
                                              ["id", "n_bytes", "n_tokens"])
     return run
@@ -80,7 +92,7 @@ def token_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     by default; nothing is truncated. Repeated rows are counted each on its own.
     """
     spark = session(df)
-    shared = spark.sparkContext.broadcast(frequent_lengths(df, path, text_col) if table is None else table)
+    shared = Frequent(spark, frequent_lengths(df, path, text_col) if table is None else table)
     text = text_of(text_col)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
     out = rows.mapInArrow(_count(path, shared), "id long, n_bytes long, n_tokens long")

@@ -157,13 +157,19 @@ def place(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.LocalFileSystem(), folder
 
 
+def packer(width: int):
+    """Ids as little-endian unsigned integers; one that does not fit raises."""
+    letter = {2: "H", 4: "I"}[width]
+    return lambda ids: struct.pack(f"<{len(ids)}{letter}", *ids)
+
+
 def _write(folder: str, path: str, end_id: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = CachedEncoder(path, lambda ids: np.array(ids, f"<u{width}").tobytes())
+        encoder = CachedEncoder.kept((path, "ids", width), lambda: CachedEncoder(path, packer(width)))
         part, writer, sink, name = TaskContext.get().partitionId(), None, None, ""
         end = np.array([end_id], f"<u{width}").tobytes()
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc_id, lists in zip(batch.column(0).to_pylist(), encoder.values(batch.column(1).to_pylist())):
                 if writer is None:
                     store, base = place(folder)
                     store.create_dir(base, recursive=True)
@@ -171,7 +177,7 @@ def _write(folder: str, path: str, end_id: int, width: int):
                     sink = store.open_output_stream(f"{base}/{name}", compression=None)
                     writer = Writer(sink, width)
                 writer.begin(doc_id)
-                for values in encoder.pieces(text):
+                for values in lists:
                     writer.add(b"".join(values))
                 writer.add(end)
         if writer is not None:

@@ -24,7 +24,7 @@ TEXT = st.text(alphabet=st.sampled_from(ODD), max_size=50) | st.text(max_size=30
 
 
 def own(path, text):
-    return [i for piece in ENCODERS[path].pieces(text) for ids in piece for i in ids]
+    return [i for lists in ENCODERS[path].values([text]) for values in lists for ids in values for i in ids]
 
 
 @pytest.mark.parametrize("path", [WORD, BYTE])
@@ -44,14 +44,18 @@ def test_every_split_character_alone_and_between_words(path):
 
 
 @pytest.mark.parametrize("path", [WORD, BYTE])
-def test_long_texts_are_cut_without_effect(path):
+def test_long_texts_are_cut_without_effect(path, monkeypatch):
     rng = random.Random(1)
     text = "".join(rng.choice(["word", " ", "  ", "\n", "é", "12", "'s", ". "]) for _ in range(30000))
     assert "".join(P.pieces(text, 500)) == text and len(list(P.pieces(text, 500))) > 10
     whole = LIB[path].encode(text, add_special_tokens=False).ids
     assert own(path, text) == whole
-    enc = P.CachedEncoder(path, list)
-    assert [i for p in P.pieces(text, 500) for part in enc.pieces(p) for ids in part for i in ids] == whole
+    enc = P.CachedEncoder(path, list, limit=20)
+    monkeypatch.setattr(P, "GROUP", 300)
+    monkeypatch.setattr(P.pieces, "__defaults__", (200,))
+    texts = [text, "a b", "", "世 x", "c d" * 90, text[:250], text[:290]]
+    got = [[i for values in lists for ids in values for i in ids] for lists in enc.values(texts)]
+    assert got == [LIB[path].encode(t, add_special_tokens=False).ids for t in texts]
 
 
 TEXTS = [None, "", "The cat's 12 hats.", "ÉTÉ été  \n\n x", "<|endoftext|> in text", "世界 mixed", "long " * 40000, "the the the",
