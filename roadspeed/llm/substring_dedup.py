@@ -252,7 +252,7 @@ def substring_dedup(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     """
     spark = session(df)
     parts = shuffle_partitions(spark)
-    blocks, shards = blocks or 4 * parts, shards or parts
+    blocks, shards = blocks or 2 * parts, shards or max(1, parts // 2)
     docs = df.select(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(blocks)).cast("int").alias("block"),
                      F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).groupBy("block")
     depth = len(lengths_of(window))
