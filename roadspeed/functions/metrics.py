@@ -30,11 +30,6 @@ def speed_band(kmh_col: Column) -> Column:
             .otherwise(F.lit("fast")))
 
 
-def soft_threshold(c: Column, thr: Column) -> Column:
-    """sign(c) * max(|c| - thr, 0)."""
-    return F.signum(c) * F.greatest(F.abs(c) - thr, F.lit(0.0))
-
-
 def flow_value(flow: Column, key: str, default: float = 0.0) -> Column:
     """Read one numeric field of the raw ``currentFlow`` map.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,18 +17,25 @@ SEQ_SLOTS = 1_000_000
 def explode_results(df: DataFrame) -> DataFrame:
     """One row per ``results[]`` element, keeping its position ``pos``.
 
-    ``seq`` (the total order of records) is ``base * 1e6 + pos`` where base
-    is the document's own ``seq`` when it has one, else the epoch seconds
-    of ``snapshot_ts`` (one document per snapshot). Other columns pass.
+    A record is identified by (``snapshot_ts``, ``doc_key``, ``pos``); ``doc_key`` is
+    the document's landing ``seq``, else a hash of where and what it is. ``seq``
+    only orders records: ``base * 1e6 + pos`` where base is the document's own
+    ``seq``, else the epoch seconds of ``snapshot_ts``, so records of one snapshot
+    may share it. A document of 1e6 results or more raises. Other columns pass.
     """
-    keep = [c for c in df.columns if c not in ("results", "seq")]
+    keep = [c for c in df.columns if c not in ("results", "seq", "doc_key")]
+    own = F.col("seq").cast("string") if "seq" in df.columns else F.lit(None).cast("string")
+    given = F.col("doc_key") if "doc_key" in df.columns else F.lit(None).cast("string")
+    key = F.coalesce(given, own, F.sha2(F.to_json(F.struct("results")), 256))
     # An explicit +0000 offset keeps the key independent of the session time zone.
     epoch = F.unix_seconds(F.to_timestamp(F.concat(F.col("snapshot_ts"), F.lit("+0000")),
                                           "yyyyMMdd'T'HHmmssZ")).cast("long")
     base = F.coalesce(F.col("seq"), epoch) if "seq" in df.columns else epoch
-    out = df.select(*keep, base.alias("_base"),
+    out = df.select(*keep, key.alias("doc_key"), base.alias("_base"),
                     F.posexplode(F.coalesce("results", F.array())).alias("pos", "result"))
-    return (out.withColumn("seq", F.col("_base") * F.lit(SEQ_SLOTS) + F.col("pos"))
+    order = F.when(F.col("pos") < SEQ_SLOTS, F.col("_base") * F.lit(SEQ_SLOTS) + F.col("pos")).otherwise(
+        F.raise_error(F.lit("a document has a million results or more")).cast("long"))
+    return (out.withColumn("seq", order)
                .withColumn("pos", F.col("pos").cast("long")).drop("_base"))
 
 
@@ -39,8 +48,9 @@ def has_links(df: DataFrame) -> DataFrame:
 def flow_fields(df: DataFrame) -> DataFrame:
     """Typed flow values and the description, with the feed's defaults.
 
-    An absent key gives 0 (or "" for the description); a key that is present
-    with null stays null.
+    An absent key gives 0, one that is present with null stays null. A typed
+    description cannot tell the two apart: both give "" and the name fallbacks
+    treat "" and null alike.
     """
     flow = F.col("result.currentFlow")
     return (df
@@ -61,7 +71,10 @@ def shape_columns(df: DataFrame) -> DataFrame:
             .drop("_raw_points"))
 
 
-def parse_snapshot(df: DataFrame) -> DataFrame:
-    """explode -> drop linkless -> flow fields -> shape; drops the raw struct."""
-    out = shape_columns(flow_fields(has_links(explode_results(df))))
+def parse_snapshot(df: DataFrame, watch: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """explode -> drop linkless -> flow fields -> shape; drops the raw struct.
+
+    ``watch`` may observe the exploded results.
+    """
+    out = shape_columns(flow_fields(has_links(watch(explode_results(df)))))
     return out.drop("result")

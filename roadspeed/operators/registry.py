@@ -58,7 +58,7 @@ def register_new(records: DataFrame, registry: DataFrame, created_at=None) -> Da
     fresh = _described(records, new_shapes(first, registry))
     top = registry.agg(F.max("segment_index").alias("m")).first()["m"]
     start = int(top or 0) + 1
-    numbered = dense_ordinal(fresh, "first_seq", "segment_index", start=start)
+    numbered = dense_ordinal(fresh, "first_seq", "segment_index", start=start, then=("shape_hash",))
     stamp = (F.current_timestamp() if created_at is None else F.lit(created_at)).cast("timestamp_ntz")
     return numbered.select(
         "shape_hash", "segment_index",

@@ -36,7 +36,7 @@ RG = f"""rg AS (SELECT sha256(CAST(c_custkey AS VARCHAR)) AS shape_hash, c_custk
 
 PR = """pr AS (SELECT TIMESTAMP '2024-02-01 00:00:00' + to_minutes(CAST(vec_id AS INTEGER)) AS time,
   CAST(label AS BIGINT) AS segment_index,
-  list_transform(embedding[1:12], lambda x: CAST(x AS DOUBLE)) AS speed, vec_id AS seq FROM embeddings)"""
+  list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS speed, vec_id AS seq FROM embeddings)"""
 
 LATEST_PRED = """lp AS (SELECT segment_index, speed AS predict, seq FROM (
   SELECT *, row_number() OVER (PARTITION BY segment_index ORDER BY seq DESC) AS rn FROM pr) WHERE rn = 1)"""
@@ -260,9 +260,10 @@ def _pt_json(i: int) -> str:
     return f"""'{{"lat": ' || {_lat_txt(i)} || ', "lng": ' || CAST({_lng(i)} AS VARCHAR) || '}}'"""
 
 
-SN = f"""sn0 AS (SELECT o_orderkey AS okey, o_custkey AS k, o_orderkey * 1000000 AS seq,
-    strftime(o_orderdate, '%Y%m%dT%H%M%S') AS snapshot_ts, o_orderstatus, o_totalprice FROM orders),
-  sn AS (SELECT okey, k, seq, snapshot_ts,
+SN = f"""sn0 AS (SELECT o_orderkey AS okey, o_custkey + p AS k, o_orderkey * 1000000 + p AS seq, CAST(p AS BIGINT) AS pos,
+    strftime(o_orderdate, '%Y%m%dT%H%M%S') AS snapshot_ts, o_orderstatus, o_totalprice
+    FROM (SELECT *, unnest(range(o_orderkey % 3 + 1)) AS p FROM orders)),
+  sn AS (SELECT okey, k, seq, pos, snapshot_ts,
     (k % 23 <> 0 AND k % 13 <> 0) AS has_links,
     (k % 23 <> 0 AND k % 13 <> 0 AND k % 17 <> 0) AS has_points,
     CASE WHEN k % 11 = 0 OR k % 7 = 0 THEN '' ELSE 'Road ' || CAST(k AS VARCHAR) END AS name,
@@ -295,7 +296,7 @@ REG_ALL = """reg AS (SELECT shape_hash, row_number() OVER (ORDER BY first_seq) A
     CASE WHEN raw_name IS NULL OR raw_name = '' THEN 'segment_' || CAST(segment_index AS VARCHAR) ELSE raw_name END AS name,
     first_seq FROM reg)"""
 
-SQL["parse_results"] = _with(SN) + "SELECT seq, snapshot_ts, CAST(0 AS BIGINT) AS pos FROM sn"
+SQL["parse_results"] = _with(SN) + "SELECT seq, snapshot_ts, pos FROM sn"
 SQL["filter_links"] = _with(SN) + "SELECT seq FROM sn WHERE has_links"
 SQL["flow_fields"] = _with(SN) + """SELECT seq, name, speed_ms, jam_factor, free_flow_speed, confidence FROM sn"""
 SQL["shape_points"] = _with(SN) + """SELECT seq, CAST(len(lats) AS BIGINT) AS n_points, lats, lngs FROM sn"""
@@ -359,3 +360,30 @@ SQL["answer_request_bodies"] = _with(SR, LATEST, RG, PR, LATEST_PRED, VIEW, _BOD
   SELECT r.request_id, r.segment_index,
     CASE WHEN NOT r.ok THEN 400 WHEN v.current IS NULL THEN 404 ELSE 200 END AS status, v.current
   FROM req3 r LEFT JOIN view v ON v.segment_index = r.segment_index)"""
+
+SQL["src_snapshot_quarantine"] = """SELECT CASE WHEN o_orderkey % 41 = 0 THEN 'rejected' ELSE 'read' END AS status,
+  CASE WHEN o_orderkey % 41 <> 0 THEN CAST(o_orderkey % 3 + 1 AS BIGINT) END AS n_results FROM orders"""
+
+
+def _forecastable(where: str) -> str:
+    """Shapes with a value among their newest 96 records of those that ``where`` admits."""
+    return f"""SELECT DISTINCT shape_hash FROM (SELECT shape_hash, speed_ms,
+    row_number() OVER (PARTITION BY shape_hash ORDER BY seq DESC) AS rn FROM recs WHERE {where})
+    WHERE rn <= 96 AND speed_ms IS NOT NULL"""
+
+
+SQL["run_pipeline"] = _with(SN) + f"""SELECT c.shape_hash, c.n AS n_records, c.n AS n_transformed,
+  CASE WHEN f.shape_hash IS NOT NULL THEN (SELECT count(*) FROM recs) END AS seq
+  FROM (SELECT shape_hash, count(*) AS n FROM recs GROUP BY 1) c
+  LEFT JOIN ({_forecastable('TRUE')}) f ON f.shape_hash = c.shape_hash"""
+_E, _L = "snapshot_ts < '19980415T000000'", "snapshot_ts >= '19980415T000000'"
+SQL["run_counters"] = _with(SN) + f"""SELECT * FROM (VALUES
+  (0::BIGINT, (SELECT count(*) FROM sn WHERE {_E}), (SELECT count(*) FROM recs WHERE {_E}),
+   (SELECT count(*) FROM recs WHERE {_E}), (SELECT count(*) FROM ({_forecastable(_E)}))),
+  (1::BIGINT, (SELECT count(*) FROM sn WHERE {_L}), (SELECT count(*) FROM recs WHERE {_L}),
+   (SELECT count(*) FROM recs WHERE {_L}), (SELECT count(*) FROM ({_forecastable('TRUE')}))),
+  (2::BIGINT, (SELECT count(*) FROM sn WHERE {_L}), (SELECT count(*) FROM recs WHERE {_L}), 0::BIGINT, 0::BIGINT))
+  v(run, extracted, written, inserted, forecasted)"""
+SQL["answer_notice"] = _with(*_forecast_base()) + """SELECT event_id AS request_id,
+  CASE WHEN event_type = 'click' THEN 200 ELSE 400 END::BIGINT AS status,
+  CASE WHEN event_type = 'click' THEN (SELECT count(*) FROM rec WHERE t = 0) END AS forecasted FROM events"""

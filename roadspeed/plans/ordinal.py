@@ -17,9 +17,10 @@ DEFAULT_BUCKETS = 256
 
 def dense_ordinal(df: DataFrame, order_col: str, out_col: str = "ordinal",
                   start: int | str = 1, buckets: int = DEFAULT_BUCKETS,
-                  materialize: bool = True) -> DataFrame:
+                  materialize: bool = True, then: tuple[str, ...] = ()) -> DataFrame:
     """Add ``out_col`` = start + rank of ``order_col`` (0-based rank).
 
+    Equal ``order_col`` values are numbered in the order of the columns ``then``.
     ``start`` may be a column name holding one constant value (e.g. a
     broadcast ``max(index) + 1``). The input is read three times (bounds,
     counts, numbering), so by default it is checkpointed once to the shared
@@ -43,7 +44,7 @@ def dense_ordinal(df: DataFrame, order_col: str, out_col: str = "ordinal",
         .alias("_off"))
     # offsets has at most `buckets` rows: a proven bound for the broadcast.
     numbered = (bucketed.join(F.broadcast(offsets), "_bucket")
-                .withColumn("_r", F.row_number().over(Window.partitionBy("_bucket").orderBy(order_col))))
+                .withColumn("_r", F.row_number().over(Window.partitionBy("_bucket").orderBy(order_col, *then))))
     base = F.lit(start) if isinstance(start, int) else F.col(start)
     return (numbered.withColumn(out_col, (base + F.coalesce(F.col("_off"), F.lit(0)) + F.col("_r") - 1).cast("long"))
             .drop("_bucket", "_off", "_r"))

@@ -8,7 +8,7 @@ Every derived input grows with its source table:
 * raw snapshots  <- orders    (one document per order, built as JSON text
                                 and parsed back; seq = o_orderkey)
 * predictions    <- embeddings (segment_index = label, seq = vec_id,
-                                Speed = first 12 elements)
+                                Speed = the whole embedding)
 * geo points     <- customer  (lat / lng derived from c_custkey)
 
 The SQL oracle derives the same values straight from the columns, so a
@@ -79,12 +79,12 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    first12 = F.transform(F.slice("embedding", 1, 12), lambda v: v.cast("double"))
+    speeds = F.transform("embedding", lambda v: v.cast("double"))
     return e.select(
         (F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
          + F.make_interval(mins=F.col("vec_id").cast("int"))).alias("Time"),
         F.col("label").cast("long").alias("segment_index"),
-        first12.alias("Speed"),
+        speeds.alias("Speed"),
         F.col("vec_id").alias("seq"))
 
 
@@ -121,7 +121,17 @@ def snapshot_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     snapshot key, as our landing format does.
     """
     o = spread(table(spark, sf_dir, "orders"))
-    k, ok = F.col("o_custkey"), F.col("o_orderkey")
+    ok = F.col("o_orderkey")
+    snap = F.date_format("o_orderdate", "yyyyMMdd'T'HHmmss")
+    # One to three results per document, for neighbouring keys.
+    results = F.transform(F.sequence(F.lit(0), (ok % 3).cast("int")), lambda i: _result(F.col("o_custkey") + i, ok))
+    doc = F.concat(F.lit('{"results": ['), F.array_join(results, ", "), F.lit('], "seq": '), ok.cast("string"),
+                   F.lit(', "snapshot_ts": "'), snap, F.lit('"}'))
+    return o.select(ok.alias("seq"), snap.alias("snapshot_ts"), doc.alias("value"))
+
+
+def _result(k: F.Column, ok: F.Column) -> F.Column:
+    """JSON text of one result of order ``ok`` for customer key ``k``."""
 
     def pt(i: int) -> F.Column:
         lat = _num(_lat_raw(k, i))
@@ -150,13 +160,9 @@ def snapshot_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.concat(F.lit('"jamFactor": '), (ok % 11).cast("string")),
                     F.concat(F.lit('"freeFlow": '), _num((k % 20 + 10).cast("double"))),
                     conf), F.lit("}"))
-    result = F.concat(F.lit('{"location": '), location,
+    return F.concat(F.lit('{"location": '), location,
                       F.when(ok % 37 == 0, F.lit("")).otherwise(F.concat(F.lit(', "currentFlow": '), flow)),
                       F.lit("}"))
-    snap = F.date_format("o_orderdate", "yyyyMMdd'T'HHmmss")
-    doc = F.concat(F.lit('{"results": ['), result, F.lit('], "seq": '), ok.cast("string"),
-                   F.lit(', "snapshot_ts": "'), snap, F.lit('"}'))
-    return o.select(ok.alias("seq"), snap.alias("snapshot_ts"), doc.alias("value"))
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:

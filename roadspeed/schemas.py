@@ -63,6 +63,8 @@ TRANSFORMED = T.StructType([
     T.StructField("ingested_at", T.TimestampNTZType()),
     T.StructField("seq", T.LongType()),
     T.StructField("snapshot_ts", T.StringType()),
+    T.StructField("doc_key", T.StringType()),
+    T.StructField("pos", T.LongType()),
 ])
 
 SPEED_RECORDS = T.StructType([
@@ -74,6 +76,10 @@ SPEED_RECORDS = T.StructType([
     T.StructField("FreeFlow", T.DoubleType()),
     T.StructField("Confidence", T.DoubleType()),
     T.StructField("IngestedAt", T.TimestampNTZType()),
+    # Identity of a record, the same in every replay.
+    T.StructField("snapshot_ts", T.StringType()),
+    T.StructField("doc_key", T.StringType()),
+    T.StructField("pos", T.LongType()),
 ])
 
 PREDICTIONS = T.StructType([

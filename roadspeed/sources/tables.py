@@ -2,41 +2,57 @@
 
 All are parquet with declared schemas. Layouts:
 
-* transformed    partitioned by ``snapshot_ts`` (one folder per run);
-  rewriting a run replaces only its folder (dynamic partition overwrite).
-* speed_records  partitioned by ``ingest_date``; each write is range
+* transformed    partitioned by ``snapshot_ts``; appended.
+* speed_records  partitioned by ``record_date`` (of the snapshot, so a replay
+  touches the same folders whenever it runs); each write is range
   clustered on (segment_index, seq) so parquet min/max statistics prune
-  row groups for per-segment reads. Idempotent mode drops rows whose
-  ``seq`` the touched dates already hold (replays of a run add nothing).
+  row groups for per-segment reads.
+* Both skip rows whose identity (snapshot_ts, doc_key, pos) the touched
+  folders already hold: a replay adds nothing, and documents of one snapshot
+  that come in several batches are all kept.
 * predictions    partitioned by ``run_date``; append only.
 * registry       parquet; appended with newly registered segments only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+from pyspark.errors import AnalysisException
 
+from ..operators.records import identified
 from ..schemas import PREDICTIONS, REGISTRY, SPEED_RECORDS, TRANSFORMED
 
-RECORD_FILES_PER_WRITE = 8
+IDENTITY = ["snapshot_ts", "doc_key", "pos"]
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(conf).exists(p)
+def _stored(spark: SparkSession, path: str, schema) -> DataFrame | None:
+    """The table, or None while its folder does not exist."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _unstored(df: DataFrame, stored: DataFrame | None, folder: str) -> DataFrame:
+    """Rows whose identity is new, each once; only the folders that ``df`` touches are read."""
+    df = df.dropDuplicates(IDENTITY)
+    if stored is None:
+        return df
+    known = stored.select(folder, *(c for c in IDENTITY if c != folder)).join(
+        df.select(folder).distinct(), folder, "left_semi")
+    return df.join(known, [folder, *(c for c in IDENTITY if c != folder)], "left_anti")
 
 
-def write_transformed(df: DataFrame, path: str, files: int = RECORD_FILES_PER_WRITE) -> None:
-    """Range partitioning on (snapshot_ts, seq): a back-fill of many
-    snapshots writes about one file per folder, while one large run is
-    still split over ``files`` tasks by seq."""
-    (df.repartitionByRange(files, "snapshot_ts", "seq")
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("snapshot_ts").parquet(path))
+def write_transformed(df: DataFrame, path: str) -> None:
+    """Append new rows, range partitioned on (snapshot_ts, seq): a back-fill of
+    many snapshots writes about one file per folder, one large run is split by seq."""
+    out = df.select(*TRANSFORMED.fieldNames())
+    (_unstored(out, _stored(df.sparkSession, path, TRANSFORMED), "snapshot_ts")
+     .repartitionByRange("snapshot_ts", "seq")
+     .write.mode("append").partitionBy("snapshot_ts").parquet(path))
 
 
 def read_transformed(spark: SparkSession, path: str, snapshots: list[str] | None = None) -> DataFrame:
@@ -46,39 +62,39 @@ def read_transformed(spark: SparkSession, path: str, snapshots: list[str] | None
 
 def _records_schema():
     from pyspark.sql import types as T
-    return T.StructType(SPEED_RECORDS.fields + [T.StructField("ingest_date", T.DateType())])
-
-
-def append_speed_records(df: DataFrame, path: str, idempotent: bool = True,
-                         files: int = RECORD_FILES_PER_WRITE) -> None:
-    """Append records; ``idempotent`` skips seqs already stored."""
-    spark = df.sparkSession
-    out = df.select(*SPEED_RECORDS.fieldNames()).withColumn("ingest_date", F.to_date("IngestedAt"))
-    if idempotent and _exists(spark, path):
-        # Read back only what a replay of this batch could have written: the
-        # dates it touches (semi join on the partition column -> dynamic
-        # partition pruning) and its seq range as literals, which parquet
-        # min/max statistics use to skip every file of other batches (each
-        # append writes files holding only its own seq values).
-        bounds = out.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")).first()
-        if bounds["lo"] is not None:
-            stored = (spark.read.schema(_records_schema()).parquet(path)
-                      .filter(F.col("seq").between(int(bounds["lo"]), int(bounds["hi"])))
-                      .select("ingest_date", "seq")
-                      .join(out.select("ingest_date").distinct(), "ingest_date", "left_semi"))
-            out = out.join(stored, ["ingest_date", "seq"], "left_anti")
-    (out.repartitionByRange(files, "segment_index", "seq")
-        .sortWithinPartitions("segment_index", "seq")
-        .write.mode("append").partitionBy("ingest_date").parquet(path))
+    return T.StructType(SPEED_RECORDS.fields + [T.StructField("record_date", T.DateType())])
+
+
+def _counted(df: DataFrame) -> tuple[DataFrame, Observation]:
+    seen = Observation("rows")
+    return df.observe(seen, F.count(F.lit(1)).alias("n")), seen
+
+
+def append_speed_records(df: DataFrame, path: str, idempotent: bool = True) -> int:
+    """Append records; ``idempotent`` skips those already stored. Returns the rows written."""
+    out = (identified(df).select(*SPEED_RECORDS.fieldNames())
+           .withColumn("record_date", F.to_date(F.substring("snapshot_ts", 1, 8), "yyyyMMdd")))
+    if idempotent:
+        out = _unstored(out, _stored(df.sparkSession, path, _records_schema()), "record_date")
+    out, seen = _counted(out.repartitionByRange("segment_index", "seq").sortWithinPartitions("segment_index", "seq"))
+    out.write.mode("append").partitionBy("record_date").parquet(path)
+    return seen.get["n"]
 
 
 def speed_records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(_records_schema()).parquet(path)
 
 
-def append_predictions(df: DataFrame, path: str) -> None:
-    (df.select(*PREDICTIONS.fieldNames()).withColumn("run_date", F.to_date("Time"))
-     .write.mode("append").partitionBy("run_date").parquet(path))
+def append_predictions(df: DataFrame, path: str) -> int:
+    """Append forecasts; (segment_index, seq) that the table holds are skipped, as a replayed run
+    repeats them. Returns the rows written."""
+    out = df.select(*PREDICTIONS.fieldNames()).withColumn("run_date", F.to_date("Time"))
+    stored = _stored(df.sparkSession, path, PREDICTIONS)
+    if stored is not None:
+        out = out.join(stored.select("segment_index", "seq"), ["segment_index", "seq"], "left_anti")
+    out, seen = _counted(out)
+    out.write.mode("append").partitionBy("run_date").parquet(path)
+    return seen.get["n"]
 
 
 def predictions(spark: SparkSession, path: str) -> DataFrame:
@@ -91,11 +107,10 @@ def write_registry_rows(rows: DataFrame, path: str) -> None:
     rows.select(*REGISTRY.fieldNames()).write.mode("append").parquet(path)
 
 
-def registry(spark: SparkSession, path: str) -> DataFrame:
-    try:
-        return spark.read.schema(REGISTRY).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], REGISTRY)
+def registry(spark: SparkSession, path: str, create: bool = False) -> DataFrame:
+    """The registry; with ``create`` a folder that does not exist yet is an empty one, else it raises."""
+    found = _stored(spark, path, REGISTRY) if create else spark.read.schema(REGISTRY).parquet(path)
+    return spark.createDataFrame([], REGISTRY) if found is None else found
 
 
 # --- versioned state tables -------------------------------------------------

@@ -44,6 +44,67 @@ def test_speed_record_append_is_replay_safe(spark):
     assert TB.speed_records(spark, path).count() == 1
 
 
+def _batch(spark, docs):
+    text = spark.createDataFrame([(json.dumps(d),) for d in docs], "v string")
+    return text.select(F.from_json("v", SS.raw_read_schema()).alias("d")).select("d.*")
+
+
+def _result(lat, speed):
+    return {"location": {"description": "A", "shape": {"links": [{"points": [{"lat": lat, "lng": 106.2}]}]}},
+            "currentFlow": {"speed": speed}}
+
+
+def test_documents_of_one_snapshot_in_two_batches_are_all_kept(spark):
+    from roadspeed.operators import history as H
+    from roadspeed.plans.etl import run_batch
+    reg, tr, rec, st, pr = (scratch_path(spark, n) for n in ("reg", "tr", "rec", "st", "pr"))
+    one = [{"results": [_result(10.1, 5.0), _result(10.2, 6.0)], "snapshot_ts": "20240101T000000"}]
+    two = [{"results": [_result(10.3, 7.0)], "snapshot_ts": "20240101T000000"}]
+    runs = [(one, "2024-01-01 23:59:58"), (two, "2024-01-01 23:59:59"), (two, "2024-01-02 00:00:01"), (one, "2024-01-02 00:00:02")]
+    got = [run_batch(_batch(spark, d), reg, tr, rec, ingested_at=at, state_path=st, predictions_path=pr, version=k)
+           for k, (d, at) in enumerate(runs)]
+    assert [c["inserted"] for c in got] == [2, 1, 0, 0] and [c["extracted"] for c in got] == [2, 1, 1, 2]
+    assert [c["forecasted"] for c in got] == [2, 3, 0, 0]
+    assert sorted(r.Speed for r in TB.speed_records(spark, rec).collect()) == [5.0, 6.0, 7.0]
+    assert sorted(r.speed_ms for r in TB.read_transformed(spark, tr).collect()) == [5.0, 6.0, 7.0]
+    newest = H.latest_prediction(TB.predictions(spark, pr)).collect()
+    assert len(newest) == 3 and {r.seq for r in newest} == {3}
+
+
+def test_malformed_documents_fail_or_are_set_apart(spark, tmp_path):
+    import pytest
+    (tmp_path / "a.json").write_text(_doc(1.0) + "\n" + _doc(2.0)[:-4] + "\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        SS.read_snapshots(spark, str(tmp_path)).collect()
+    good, bad = SS.read_with_quarantine(spark, str(tmp_path))
+    assert good.count() == 1 and [r.value for r in bad.collect()] == [_doc(2.0)[:-4]]
+    with pytest.raises(Exception):
+        TB.registry(spark, str(tmp_path / "nowhere"))
+    assert TB.registry(spark, str(tmp_path / "nowhere"), create=True).count() == 0
+
+
+def test_wide_export_and_scorer_shape_are_checked(spark):
+    import numpy as np
+    import pytest
+    from roadspeed.operators import series as S
+    from roadspeed.operators.forecast import _network_scorer
+    m = spark.range(400).selectExpr("0L as network", "id as variate", "0 as pos", "1.0D as value")
+    assert len(S.series_matrix_wide(m).columns) == 402
+    with pytest.raises(ValueError):
+        S.series_matrix_wide(m, 325)
+    import pandas as pd
+    pdf = pd.DataFrame({"variate": [0], "segment_index": [1], "denoised": [np.zeros(4)]})
+    with pytest.raises(ValueError):
+        _network_scorer(lambda a: np.zeros((3, 325)), 12, 325)(pdf)
+
+
+def test_notices(spark):
+    from roadspeed.operators import serving as SV
+    req = spark.createDataFrame([(1, "update"), (2, "Update"), (3, None), (4, "")], "request_id long, notice string")
+    got = {r.request_id: (r.status, r.forecasted) for r in SV.answer_notices(req, spark.range(7)).collect()}
+    assert got == {1: (200, 7), 2: (400, None), 3: (400, None), 4: (400, None)}
+
+
 def test_run_batch_replay_adds_nothing(spark):
     from roadspeed.plans.etl import run_batch
     docs = [{"results": [
