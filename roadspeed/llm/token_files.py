@@ -165,7 +165,7 @@ def packer(width: int):
 
 def _write(folder: str, path: str, end_id: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = CachedEncoder.kept((path, "ids", width), lambda: CachedEncoder(path, packer(width)))
+        encoder = CachedEncoder.kept((path, "ids", width), lambda: CachedEncoder(path, packer(width), limit=400_000))
         part, writer, sink, name = TaskContext.get().partitionId(), None, None, ""
         end = np.array([end_id], f"<u{width}").tobytes()
         for batch in batches:
