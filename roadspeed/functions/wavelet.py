@@ -82,17 +82,6 @@ def median_sorted(s: Column) -> Column:
     return F.when(k % 2 == 1, s[mid]).otherwise((s[mid - 1] + s[mid]) / 2)
 
 
-def median_abs(c: Column) -> Column:
-    """Exact median of |c|."""
-    return median_sorted(sorted_abs(c))
-
-
-def universal_threshold(cd: Column, n: Column) -> Column:
-    """sigma * sqrt(2 ln n), sigma = median|cD| / 0.6745."""
-    sigma = median_abs(cd) / F.lit(MAD_SCALE)
-    return sigma * F.sqrt(F.log(n.cast("double")) * 2)
-
-
 def soft(cd: Column, thr: Column) -> Column:
     return map_with(cd, thr, lambda c, t: F.signum(c) * F.greatest(F.abs(c) - t, F.lit(0.0)))
 
@@ -112,11 +101,3 @@ def idwt(ca: Column, cd: Column, n: Column) -> Column:
             acc = term if acc is None else acc + term
         return acc
     return F.transform(F.sequence(F.lit(0), n - 1), sample)
-
-
-def denoise(x: Column, n: Column | None = None) -> Column:
-    """Soft universal-threshold denoise of one series (identity when thr = 0)."""
-    n = F.size(x) if n is None else n
-    ca, cd = dwt(x, n)
-    thr = universal_threshold(cd, n)
-    return idwt(ca, soft(cd, thr), n)

@@ -7,7 +7,10 @@ expressions, column arithmetic instead of parsed JSON.
 
 from __future__ import annotations
 
-from ..functions.wavelet import DB4_HIGH, DB4_LOW
+# The published db4 scaling filter; the other one is its mirror with alternating signs.
+DB4_LOW = [-0.010597401785069032, 0.0328830116668852, 0.030841381835560764, -0.18703481171909309,
+           -0.027983769416859854, 0.6308807679298589, 0.7148465705529157, 0.2303778133088965]
+DB4_HIGH = [(-1) ** (j + 1) * v for j, v in enumerate(reversed(DB4_LOW))]
 
 SR = """sr AS (SELECT user_id AS segment_index, event_id AS seq,
   CASE WHEN event_type = 'error' THEN NULL ELSE value END AS speed, ts AS ingested_at FROM events)"""
