@@ -37,6 +37,8 @@ from roadspeed.llm.frames import session, text_of
 BLANK = "▁"
 N_BEST = 4
 PENALTY = 10.0
+#: Entries of a generation of either cache; a worker needs some 1.5 KB for each (four generations).
+CACHE = 100_000
 #: Longer parts are not kept.
 LONGEST = 48
 #: Characters of a text that is split at once.
@@ -51,7 +53,7 @@ Path = tuple[float, tuple[int, ...]]
 class Pieces:
     """Lattice search over the pieces of a model file."""
 
-    def __init__(self, path: str, n_best: int = N_BEST, limit: int = 120_000):
+    def __init__(self, path: str, n_best: int = N_BEST, limit: int = CACHE):
         import sentencepiece
 
         if n_best < 1:
@@ -304,19 +306,20 @@ def summary(pieces: Pieces, text: str) -> tuple[int, list[float], int, str, byte
 
 
 #: Kept by a worker from task to task, with their caches.
-_OPEN: dict[tuple[str, int], Pieces] = {}
+_OPEN: dict[tuple[str, int, int], Pieces] = {}
 
 
-def opened(path: str, n_best: int) -> Pieces:
-    if (path, n_best) not in _OPEN:
+def opened(path: str, n_best: int, cache: int = CACHE) -> Pieces:
+    key = path, n_best, cache
+    if key not in _OPEN:
         _OPEN.clear()
-        _OPEN[path, n_best] = Pieces(path, n_best)
-    return _OPEN[path, n_best]
+        _OPEN[key] = Pieces(path, n_best, cache)
+    return _OPEN[key]
 
 
-def _run(path: str, n_best: int, with_ids: bool):
+def _run(path: str, n_best: int, with_ids: bool, cache: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = opened(path, n_best)
+        pieces = opened(path, n_best, cache)
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 part = batch.slice(a, 1000)
@@ -346,18 +349,19 @@ ROW = ("doc_id long, n_bytes long, n_pieces long, score double, n_best int, scor
 
 
 def encode_documents(df: DataFrame, path: str, n_best: int = N_BEST, with_ids: bool = False, id_col: str = "doc_id",
-                     text_col: str = "text") -> DataFrame:
+                     text_col: str = "text", cache: int = CACHE) -> DataFrame:
     """One row per document with its N best segmentations' scores and the best one's pieces, decoded again.
 
     Columns: doc_id, n_bytes, n_pieces, score, n_best, scores, ids_crc32 (of the best
     ids as little-endian unsigned 32-bit integers), decoded_sha256, round_trip, and
     ids if asked for. Null counts as empty: no pieces, score 0. A text with the blank
-    sign itself does not come back as it was. Repeated rows are encoded each on its
+    sign itself does not come back as it was. ``cache`` trades a worker's memory for
+    time and changes no result. Repeated rows are encoded each on its
     own; other columns are ignored.
     """
     session(df)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(_run(path, n_best, with_ids), ROW + (", ids array<int>" if with_ids else ""))
+    return rows.mapInArrow(_run(path, n_best, with_ids, cache), ROW + (", ids array<int>" if with_ids else ""))
 
 
 def decode_documents(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
