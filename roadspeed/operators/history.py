@@ -6,6 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 HISTORY_LEN = 96
+#: What identifies a record besides its segment; ``seq`` alone only orders records, and several may share it.
+IDENTITY = ("snapshot_ts", "doc_key", "pos")
+
+
+def _newest_first(columns) -> list:
+    return [F.col(c).desc() for c in ("seq", *IDENTITY) if c in columns]
 
 
 def latest_speed(sr: DataFrame) -> DataFrame:
@@ -34,12 +40,13 @@ def recent_history(sr: DataFrame, n: int = HISTORY_LEN) -> DataFrame:
     """The newest ``n`` records per segment, then nulls dropped.
 
     The cut is taken before the null filter, so a segment may keep fewer
-    than n values. ``age`` is 0 for the newest record. The plan has a
+    than n values. ``age`` is 0 for the newest record. Records of equal ``seq``
+    are ordered by their identity where the frame has it. The plan has a
     partial WindowGroupLimit before the exchange, so at most n rows per
     segment per map task are shuffled.
     """
-    w = Window.partitionBy("segment_index").orderBy(F.col("seq").desc())
-    return (sr.select("segment_index", "seq", "Speed")
+    w = Window.partitionBy("segment_index").orderBy(*_newest_first(sr.columns))
+    return (sr.select("segment_index", "seq", "Speed", *[c for c in IDENTITY if c in sr.columns])
             .withColumn("_rn", F.row_number().over(w))
             .filter(F.col("_rn") <= n)
             .filter(F.col("Speed").isNotNull())
@@ -56,18 +63,24 @@ def update_recent(state: DataFrame, new_records: DataFrame, n: int = HISTORY_LEN
     """Maintain the newest ``n`` records per segment incrementally.
 
     ``state`` is the previous output of this function (segment_index, seq,
-    Speed, at most n rows per segment, nulls kept). A record outside the old
-    newest n is older than all of them and can never re-enter, so the newest
-    n of (state + new) equals the newest n of the full history. Each run
-    then costs segments x n rows instead of a scan of the whole store.
+    Speed, the identity where either frame has it; at most n rows per segment,
+    nulls kept). A record outside the old newest n is older than all of them and
+    can never re-enter, so the newest n of (state + new) equals the newest n of
+    the full history. Each run then costs segments x n rows instead of a scan of
+    the whole store. Records without an identity are identified by ``seq``.
     """
-    both = state.select("segment_index", "seq", "Speed").unionByName(
-        new_records.select("segment_index", "seq", "Speed"))
-    # The newest n distinct seq values first (cut before the shuffle, too), then
-    # one row per (segment, seq), as a replayed batch repeats seq values. The
-    # second window is satisfied by the first one's partitioning.
-    w = Window.partitionBy("segment_index").orderBy(F.col("seq").desc())
-    dup = Window.partitionBy("segment_index", "seq").orderBy(F.col("Speed").desc_nulls_last())
+    known = [c for c in IDENTITY if c in state.columns or c in new_records.columns]
+    unnamed = {"snapshot_ts": F.lit(""), "doc_key": F.col("seq").cast("string"), "pos": F.lit(0).cast("long")}
+
+    def named(df: DataFrame) -> DataFrame:
+        return df.select("segment_index", "seq", "Speed", *[
+            (F.coalesce(F.col(c), unnamed[c]) if c in df.columns else unnamed[c]).alias(c) for c in known])
+    both = named(state).unionByName(named(new_records))
+    # The newest n distinct records first (cut before the shuffle, too), then one
+    # row of each, as a replayed batch repeats records. The second window is
+    # satisfied by the first one's partitioning.
+    w = Window.partitionBy("segment_index").orderBy(*_newest_first(both.columns))
+    dup = Window.partitionBy("segment_index", "seq", *known).orderBy(F.col("Speed").desc_nulls_last())
     return (both.withColumn("_rank", F.dense_rank().over(w)).filter(F.col("_rank") <= n)
             .withColumn("_d", F.row_number().over(dup)).filter(F.col("_d") == 1)
             .drop("_d", "_rank"))

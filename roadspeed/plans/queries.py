@@ -564,8 +564,8 @@ def stream_latest(spark, sf):
     out = scratch_path(spark, "latest")
     q = maintain_latest(spark, src, sr.schema, out, scratch_path(spark, "ckpt-latest"), max_files=1)
     q.awaitTermination()
-    from ..streaming.ingest import RECENT_SCHEMA
-    return TB.read_state(spark, out, RECENT_SCHEMA).select("segment_index", F.col("Speed").alias("speed"), "seq")
+    from ..streaming.ingest import LATEST_SCHEMA
+    return TB.read_state(spark, out, LATEST_SCHEMA).select("segment_index", F.col("Speed").alias("speed"), "seq")
 
 
 @query

@@ -122,3 +122,18 @@ def test_run_batch_replay_adds_nothing(spark):
     records = TB.speed_records(spark, rec)
     assert sorted((r.segment_index, r.Speed) for r in records.collect()) == [(1, 5.0), (2, 6.0)]
     assert TB.read_transformed(spark, tr).count() == 2
+
+
+def test_documents_of_one_snapshot_share_seq_and_stay_apart_in_the_state(spark):
+    from roadspeed.operators import history as H
+    from roadspeed.plans.etl import run_batch
+    from roadspeed.streaming.ingest import RECENT_SCHEMA
+    reg, tr, rec, st, pr = (scratch_path(spark, n) for n in ("reg", "tr", "rec", "st", "pr"))
+    docs = [[{"results": [_result(10.1, v)], "snapshot_ts": "20240101T000000"}] for v in (5.0, 9.0, 6.0)]
+    for k, d in enumerate(docs + docs[:2]):
+        run_batch(_batch(spark, d), reg, tr, rec, ingested_at="2024-01-01 00:00:00", state_path=st, predictions_path=pr, version=k)
+    store, state = TB.speed_records(spark, rec), TB.read_state(spark, st, RECENT_SCHEMA)
+    assert store.select("seq").distinct().count() == 1 and store.count() == state.count() == 3
+    for n in (96, 2):
+        want = sorted(H.recent_history(store, n).collect())
+        assert len(want) == min(n, 3) and sorted(H.recent_history(H.update_recent(state, store, n), n).collect()) == want
