@@ -230,10 +230,9 @@ class Pieces:
             self.parts[text] = found
         return found
 
-    def losses(self, text: str) -> list[float]:
-        """What the N best ways through a part lose against the best one."""
-        lists = [[ways[0][0] - s for s, _ in ways] for ways in map(self.search, self.lists(text))]
-        return [loss for loss, _ in cheapest(_nearest(lists, self.n_best - 1), self.n_best)]
+    def ways(self, text: str) -> list[Path]:
+        """The N best (score, ids) of a part."""
+        return combine([self.search(x) for x in self.lists(text)], self.n_best)
 
     def encode(self, text: str) -> list[Path]:
         """The N best segmentations of a whole text with their ids, best first; an empty text has one, without pieces."""
@@ -284,8 +283,8 @@ def _nearest(losses: list[list[float]], n: int) -> list[list[float]]:
     return heapq.nsmallest(n, (x for x in losses if len(x) > 1), key=itemgetter(1))
 
 
-def summary(pieces: Pieces, text: str) -> tuple[int, list[float], int, str, bytes]:
-    """(number of ids, N best scores, CRC-32 of the best ids, SHA-256 of their text, id bytes) of a whole text."""
+def summary(pieces: Pieces, text: str) -> tuple[int, list[float], int, str, bytes, list[bytes]]:
+    """(number of ids, N best scores, CRC-32 of the best ids, SHA-256 of their text, id bytes, id bytes of all N) of a whole text."""
     count, score, crc, near, kept = 0, 0.0, 0, [], []
     text_sum = hashlib.sha256()
     first, others = True, pieces.n_best - 1
@@ -295,14 +294,28 @@ def summary(pieces: Pieces, text: str) -> tuple[int, list[float], int, str, byte
         ids = b"".join([f[0] for f in found])
         crc = zlib.crc32(ids, crc)
         kept.append(ids)
-        count += sum([f[1] for f in found])
+        sizes = [f[1] for f in found]
         score += math.fsum([f[2] for f in found])
-        near = heapq.nsmallest(others, near + found, key=itemgetter(3))
+        least = [f[3] for f in found]
+        # (loss, place of the part's ids, their number, the part)
+        near += [(least[k], count + sum(sizes[:k]), sizes[k], block[k])
+                 for k in heapq.nsmallest(others, range(len(found)), key=least.__getitem__)]
+        near = heapq.nsmallest(others, near, key=itemgetter(0))
+        count += sum(sizes)
         data = b"".join(map(pieces.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
         text_sum.update(data[1:] if first and data[:1] == b" " else data)
         first = False
-    ways = cheapest(_nearest([pieces.losses(f[4]) for f in near if f[3] < math.inf], others), pieces.n_best)
-    return count, [score - loss for loss, _ in ways], crc, text_sum.hexdigest(), b"".join(kept)
+    whole = b"".join(kept)
+    open_ = [(at, size, pieces.ways(part)) for loss, at, size, part in near if loss < math.inf]
+    scores, paths = [], []
+    for loss, picks in cheapest([[w[0][0] - x for x, _ in w] for _, _, w in open_], pieces.n_best):
+        scores.append(score - loss)
+        out, done = [], 0
+        for at, size, ids in sorted((at, size, w[k][1]) for (at, size, w), k in zip(open_, picks) if k):
+            out += whole[4 * done:4 * at], struct.pack(f"<{len(ids)}I", *ids)
+            done = at + size
+        paths.append(b"".join([*out, whole[4 * done:]]))
+    return count, scores, crc, text_sum.hexdigest(), whole, paths
 
 
 #: Kept by a worker from task to task, with their caches.
@@ -325,11 +338,14 @@ def _run(path: str, n_best: int, with_ids: bool, cache: int):
                 part = batch.slice(a, 1000)
                 rows = []
                 for text in part.column(1).to_pylist():
-                    n, scores, crc, decoded, ids = summary(pieces, text)
+                    n, scores, crc, decoded, ids, paths = summary(pieces, text)
                     data = text.encode()
                     row = {"n_bytes": len(data), "n_pieces": n, "score": scores[0], "n_best": len(scores), "scores": scores,
                            "ids_crc32": crc, "decoded_sha256": decoded,
-                           "round_trip": hashlib.sha256(data).hexdigest() == decoded}
+                           "round_trip": hashlib.sha256(data).hexdigest() == decoded,
+                           "segmentations": [
+                               {"score": x, "n_pieces": len(p) // 4, "ids_crc32": zlib.crc32(p)}
+                               | ({"ids": np.frombuffer(p, "<u4").astype(np.int32)} if with_ids else {}) for x, p in zip(scores, paths)]}
                     rows.append(row | ({"ids": np.frombuffer(ids, "<u4").astype(np.int32)} if with_ids else {}))
                 table = pa.Table.from_pylist(rows, _schema(with_ids)) if rows else None
                 if table is not None:
@@ -341,27 +357,30 @@ def _run(path: str, n_best: int, with_ids: bool, cache: int):
 def _schema(with_ids: bool) -> pa.Schema:
     fields = [("n_bytes", pa.int64()), ("n_pieces", pa.int64()), ("score", pa.float64()), ("n_best", pa.int32()),
               ("scores", pa.list_(pa.float64())), ("ids_crc32", pa.int64()), ("decoded_sha256", pa.string()), ("round_trip", pa.bool_())]
+    each = [("score", pa.float64()), ("n_pieces", pa.int64()), ("ids_crc32", pa.int64())] + ([("ids", pa.list_(pa.int32()))] if with_ids else [])
+    fields.append(("segmentations", pa.list_(pa.struct(each))))
     return pa.schema(fields + ([("ids", pa.list_(pa.int32()))] if with_ids else []))
 
 
 ROW = ("doc_id long, n_bytes long, n_pieces long, score double, n_best int, scores array<double>, ids_crc32 long, "
-       "decoded_sha256 string, round_trip boolean")
+       "decoded_sha256 string, round_trip boolean, segmentations array<struct<score: double, n_pieces: long, ids_crc32: long{}>>")
 
 
 def encode_documents(df: DataFrame, path: str, n_best: int = N_BEST, with_ids: bool = False, id_col: str = "doc_id",
                      text_col: str = "text", cache: int = CACHE) -> DataFrame:
-    """One row per document with its N best segmentations' scores and the best one's pieces, decoded again.
+    """One row per document with its N best segmentations, and the best one decoded again.
 
     Columns: doc_id, n_bytes, n_pieces, score, n_best, scores, ids_crc32 (of the best
-    ids as little-endian unsigned 32-bit integers), decoded_sha256, round_trip, and
-    ids if asked for. Null counts as empty: no pieces, score 0. A text with the blank
+    ids as little-endian unsigned 32-bit integers), decoded_sha256, round_trip,
+    segmentations (one struct for each of the N: score, n_pieces, ids_crc32, and ids if
+    asked for), and the best ids if asked for. Null counts as empty: no pieces, score 0. A text with the blank
     sign itself does not come back as it was. ``cache`` trades a worker's memory for
     time and changes no result. Repeated rows are encoded each on its
     own; other columns are ignored.
     """
     session(df)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(_run(path, n_best, with_ids, cache), ROW + (", ids array<int>" if with_ids else ""))
+    return rows.mapInArrow(_run(path, n_best, with_ids, cache), ROW.format(", ids: array<int>") + ", ids array<int>" if with_ids else ROW.format(""))
 
 
 def decode_documents(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -121,3 +121,21 @@ def test_texts_in_blocks(monkeypatch):
     want = X.summary(P, text)
     monkeypatch.setattr(X, "STEP", 50)
     assert X.summary(P, text) == want
+
+
+@pytest.mark.parametrize("with_ids", [False, True])
+def test_documents_have_all_segmentations(docs, with_ids):
+    texts = [*TEXTS[:5], "of of of of", "the cat sat on the mat. " * 40, TEXTS[6]]
+    for r in X.encode_documents(docs(list(enumerate(texts))), MODEL, with_ids=with_ids).collect():
+        text = texts[r.doc_id] or ""
+        best = P.encode(text)
+        got = r.segmentations
+        assert [s.score for s in got] == r.scores == [s for s, _ in best] and got[0].ids_crc32 == r.ids_crc32
+        assert len({s.ids_crc32 for s in got}) == len(got) == r.n_best
+        if with_ids:
+            score = dict(x for x in P.table.values() if x)
+            for s in got:
+                assert s.n_pieces == len(s.ids) and s.ids_crc32 == zlib.crc32(np.array(s.ids, "<u4").tobytes())
+                assert P.decode(s.ids) == text.replace(X.BLANK, " ")
+                if all(i in score for i in s.ids):
+                    assert sum(score[i] for i in s.ids) == s.score
