@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from roadspeed.llm import decontaminate, exact_dedup, jaccard_join, license_scan, oracle, pieces, quality, spelling, substring_dedup, token_counts, token_files, url_filter
+from roadspeed.llm import decontaminate, exact_dedup, jaccard_join, license_scan, oracle, pieces, quality, secrets, spelling, substring_dedup, token_counts, token_files, url_filter
 from roadspeed.llm.frames import table, tokenizer
 from roadspeed.session import scratch_path
 
@@ -56,7 +56,11 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_exact_dedup, op3_url_filter, op4_license_scan, op5_token_counts, op6_sentencepiece,
-                                  op7_token_files, op8_quality_classifier, op9_jaccard_join, op10_substring_dedup, op12_spelling_variants)}
+                                  op7_token_files, op8_quality_classifier, op9_jaccard_join, op10_substring_dedup, op12_spelling_variants, op13_secret_scan)}
 QUERIES["pipeline"] = corpus_pipeline.run
 SQL = oracle.SQL | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

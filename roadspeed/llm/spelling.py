@@ -7,8 +7,10 @@ replaced letter two, so words that are near lie within Hamming distance two.
 PartEnum finds all such pairs by equality: the places are dealt into ``parts`` sets
 of about the same weight, letter by letter. Two differing places touch at most two
 sets, so two near vectors agree on some choice of ``parts - 2`` sets. Each choice
-gives one signature, the hash of the letters in it; signatures are joined, together
-with the words' lengths, and the pairs are verified by edit distance.
+gives one signature, the hash of the letters in it. Words of few letters would share
+them in large groups (anagrams, compounds of the same syllables), so a signature also
+holds the pair's length and one half of the word: an edit leaves the other half as it
+is. Signatures are joined, and the pairs are verified by edit distance.
 
 A chain of forms doubles its number of occurrences with every step, so roots are
 found by pointer doubling in a number of rounds known beforehand.
@@ -37,7 +39,7 @@ RATIO = 2
 #: Of so many occurrences of a run, told by a checksum, one loses a character; 0 for none.
 NOISE = 97
 #: Sets of letters; a signature covers all but two of them.
-PARTS = 7
+PARTS = 4
 #: Words that a task counts before it hands them on.
 TALLY = 200_000
 
@@ -113,52 +115,64 @@ def deal_letters(weights: dict[str, int], parts: int) -> dict[str, int]:
     return out
 
 
-def signatures(word: str, sets: dict[str, int], parts: int, distance: int = 2) -> list[int]:
-    """One signed 64-bit hash for each choice of ``parts - distance`` sets: the word's letters in them, sorted."""
+def signatures(word: str, sets: dict[str, int], parts: int, length: int, distance: int = 2) -> list[int]:
+    """Signed 64-bit hashes of a word as one of a pair whose shorter word has ``length`` code points.
+
+    One for each choice of ``parts - distance`` sets, of the word's letters in them, and
+    for each half of the shorter word that an edit behind or before it leaves alone.
+    """
     own: list[list[str]] = [[] for _ in range(parts)]
     for c in sorted(word):
         own[sets[c]].append(c)
     texts = ["".join(x) for x in own]
+    half = length // 2
     out = []
     for k, chosen in enumerate(combinations(range(parts), parts - distance)):
-        h = xxhash.xxh64_intdigest("\0".join([texts[i] for i in chosen]), k)
-        out.append(h - (1 << 64) if h >> 63 else h)
+        letters = "\0".join([texts[i] for i in chosen])
+        for side, rest in enumerate((word[:half], word[half - length:])):
+            h = xxhash.xxh64_intdigest(f"{letters}\0{rest}", (length << 8 | k) << 1 | side)
+            out.append(h - (1 << 64) if h >> 63 else h)
     return out
 
 
 def _sign(sets: dict[str, int], parts: int):
-    """Task function: (word, n, length, sig), one row for each signature."""
+    """Task function: (word, n, longer, sig), one row for each signature; ``longer`` if as the longer word of a pair."""
     def run(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 2000):
                 part = batch.slice(a, 2000)
-                found = [signatures(w, sets, parts) for w in part.column(0).to_pylist()]
-                each = [k for k, s in enumerate(found) for _ in s]
-                out = part.take(pa.array(each, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*out.columns, pa.array([x for s in found for x in s], pa.int64())],
-                                                 ["word", "n", "length", "sig"])
+                each, longer, sigs = [], [], []
+                for k, w in enumerate(part.column(0).to_pylist()):
+                    for more in (0, 1):
+                        own = signatures(w, sets, parts, len(w) - more)
+                        sigs += own
+                        each += [k] * len(own)
+                        longer += [bool(more)] * len(own)
+                yield pa.RecordBatch.from_arrays([*part.take(pa.array(each, pa.int32())).columns, pa.array(longer, pa.bool_()),
+                                                  pa.array(sigs, pa.int64())], ["word", "n", "longer", "sig"])
     return run
 
 
-def near_words(words: DataFrame, parts: int = PARTS) -> DataFrame:
-    """(word, n, other, other_n) for words that differ by one inserted, deleted or replaced code point, both ways round.
-
-    ``words`` has (word, n), each word once; it is read twice.
-    """
+def signed_words(words: DataFrame, parts: int = PARTS) -> DataFrame:
+    """(word, n, longer, sig) with all signatures of (word, n)."""
     if parts < 3:
         raise ValueError("three sets or more are needed")
     session(words)
     # One row per letter: at most the letters of the alphabet.
     letters = words.select(F.explode(F.split("word", "")).alias("c")).where("c <> ''").groupBy("c").count().collect()
     sets = deal_letters({r.c: r["count"] for r in letters}, parts)
-    signed = (words.select("word", "n", F.char_length("word").alias("length"))
-              .mapInArrow(_sign(sets, parts), "word string, n long, length int, sig long"))
-    shorter = signed.select(F.col("word").alias("a"), F.col("n").alias("an"), "length", "sig")
-    # The longer word of a pair, or the later one in order, looks for both lengths.
-    longer = signed.select(F.col("word").alias("b"), F.col("n").alias("bn"), F.col("length").alias("own"), "sig",
-                           F.explode(F.array(F.col("length"), F.col("length") - 1)).alias("length"))
-    pairs = (shorter.join(longer, ["sig", "length"])
-             .where(((F.col("own") > F.col("length")) | (F.col("a") < F.col("b"))) & (F.levenshtein("a", "b", 1) == 1))
+    return words.select("word", "n").mapInArrow(_sign(sets, parts), "word string, n long, longer boolean, sig long")
+
+
+def near_words(words: DataFrame, parts: int = PARTS) -> DataFrame:
+    """(word, n, other, other_n) for words that differ by one inserted, deleted or replaced code point, both ways round.
+
+    ``words`` has (word, n), each word once; it is read three times.
+    """
+    signed = signed_words(words, parts)
+    shorter = signed.where("not longer").select("sig", F.col("word").alias("a"), F.col("n").alias("an"))
+    other = signed.select("sig", "longer", F.col("word").alias("b"), F.col("n").alias("bn"))
+    pairs = (shorter.join(other, "sig").where((F.col("longer") | (F.col("a") < F.col("b"))) & (F.levenshtein("a", "b", 1) == 1))
              .select("a", "an", "b", "bn").distinct())
     return pairs.select(F.explode(F.array(
         F.struct(F.col("a").alias("word"), F.col("an").alias("n"), F.col("b").alias("other"), F.col("bn").alias("other_n")),
