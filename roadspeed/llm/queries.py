@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from roadspeed.llm import decontaminate, exact_dedup, jaccard_join, license_scan, oracle, pieces, quality, secrets, spelling, substring_dedup, token_counts, token_files, url_filter
+from roadspeed.llm import decontaminate, exact_dedup, hard_negatives, jaccard_join, license_scan, oracle, pieces, quality, secrets, spelling, substring_dedup, token_counts, token_files, url_filter
 from roadspeed.llm.frames import table, tokenizer
 from roadspeed.session import scratch_path
 
@@ -52,6 +53,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.hard_negatives(rows)
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
@@ -61,6 +67,7 @@ def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_exact_dedup, op3_url_filter, op4_license_scan, op5_token_counts, op6_sentencepiece,
-                                  op7_token_files, op8_quality_classifier, op9_jaccard_join, op10_substring_dedup, op12_spelling_variants, op13_secret_scan)}
+                                  op7_token_files, op8_quality_classifier, op9_jaccard_join, op10_substring_dedup,
+                                  op11_hard_negatives, op12_spelling_variants, op13_secret_scan)}
 QUERIES["pipeline"] = corpus_pipeline.run
 SQL = oracle.SQL | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
