@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import shape as S
@@ -14,6 +14,18 @@ from ..functions.metrics import flow_value
 SEQ_SLOTS = 1_000_000
 
 
+def keyed_documents(df: DataFrame) -> DataFrame:
+    """Documents with ``doc_key``: the given one, else the landing ``seq``, else a hash of what the document is."""
+    own = F.col("seq").cast("string") if "seq" in df.columns else F.lit(None).cast("string")
+    given = F.col("doc_key") if "doc_key" in df.columns else F.lit(None).cast("string")
+    return df.withColumn("doc_key", F.coalesce(given, own, F.sha2(F.to_json(F.struct("results")), 256)))
+
+
+def linked(result: Column) -> Column:
+    """Whether a result's shape has links."""
+    return F.size(F.coalesce(result["location"]["shape"]["links"], F.array())) > 0
+
+
 def explode_results(df: DataFrame) -> DataFrame:
     """One row per ``results[]`` element, keeping its position ``pos``.
 
@@ -23,15 +35,13 @@ def explode_results(df: DataFrame) -> DataFrame:
     ``seq``, else the epoch seconds of ``snapshot_ts``, so records of one snapshot
     may share it. A document of 1e6 results or more raises. Other columns pass.
     """
+    df = keyed_documents(df)
     keep = [c for c in df.columns if c not in ("results", "seq", "doc_key")]
-    own = F.col("seq").cast("string") if "seq" in df.columns else F.lit(None).cast("string")
-    given = F.col("doc_key") if "doc_key" in df.columns else F.lit(None).cast("string")
-    key = F.coalesce(given, own, F.sha2(F.to_json(F.struct("results")), 256))
     # An explicit +0000 offset keeps the key independent of the session time zone.
     epoch = F.unix_seconds(F.to_timestamp(F.concat(F.col("snapshot_ts"), F.lit("+0000")),
                                           "yyyyMMdd'T'HHmmssZ")).cast("long")
     base = F.coalesce(F.col("seq"), epoch) if "seq" in df.columns else epoch
-    out = df.select(*keep, key.alias("doc_key"), base.alias("_base"),
+    out = df.select(*keep, "doc_key", base.alias("_base"),
                     F.posexplode(F.coalesce("results", F.array())).alias("pos", "result"))
     order = F.when(F.col("pos") < SEQ_SLOTS, F.col("_base") * F.lit(SEQ_SLOTS) + F.col("pos")).otherwise(
         F.raise_error(F.lit("a document has a million results or more")).cast("long"))
@@ -41,8 +51,7 @@ def explode_results(df: DataFrame) -> DataFrame:
 
 def has_links(df: DataFrame) -> DataFrame:
     """Drop results whose shape has no links (links missing or empty)."""
-    links = F.col("result.location.shape.links")
-    return df.filter(F.size(F.coalesce(links, F.array())) > 0)
+    return df.filter(linked(F.col("result")))
 
 
 def flow_fields(df: DataFrame) -> DataFrame:

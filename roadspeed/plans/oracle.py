@@ -346,6 +346,8 @@ SQL["sink_speed_records"] = _with(SR) + """SELECT segment_index, seq, speed AS "
 SQL["sink_predictions"] = SQL["forecast_persistence"]
 SQL["stream_latest"] = SQL["latest_speed"]
 SQL["stream_ingest"] = _with(SN) + """SELECT seq, shape_hash, speed_ms AS "Speed" FROM recs"""
+SQL["stream_ingest_replayed"] = SQL["stream_ingest"]
+SQL["compact_records"] = SQL["sink_speed_records"]
 SQL["stream_recent"] = SQL["recent_history"]
 
 _BODY = """req AS (SELECT event_id AS request_id, json_extract_string(CASE event_type

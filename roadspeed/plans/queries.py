@@ -556,7 +556,7 @@ def sink_predictions(spark, sf):
 
 @query
 def stream_latest(spark, sf):
-    from ..streaming.ingest import maintain_latest
+    from ..streaming.ingest import maintain_latest, read_latest
     src = scratch_path(spark, "records-src")
     sr = SI.speed_records(spark, sf)
     # Land the records as several files so the stream sees several batches.
@@ -564,8 +564,7 @@ def stream_latest(spark, sf):
     out = scratch_path(spark, "latest")
     q = maintain_latest(spark, src, sr.schema, out, scratch_path(spark, "ckpt-latest"), max_files=1)
     q.awaitTermination()
-    from ..streaming.ingest import LATEST_SCHEMA
-    return TB.read_state(spark, out, LATEST_SCHEMA).select("segment_index", F.col("Speed").alias("speed"), "seq")
+    return read_latest(spark, out)
 
 
 @query
@@ -582,19 +581,46 @@ def stream_recent(spark, sf):
     return H.recent_history(TB.read_state(spark, state, RECENT_SCHEMA))
 
 
-@query
-def stream_ingest(spark, sf):
+def _ingested(spark, raw: str, **how) -> DataFrame:
+    """(seq, shape_hash, Speed) of the records that a stream over four landed files has stored."""
     from ..streaming.ingest import stream_ingest as start
-    raw = scratch_path(spark, "landing")
-    SI.snapshot_docs(spark, sf).select("value").repartitionByRange(4, "seq").write.text(raw)
     reg, tr, rec = (scratch_path(spark, n) for n in ("registry", "transformed", "records"))
-    q = start(spark, raw, reg, tr, rec, scratch_path(spark, "ckpt-ingest"), trigger=None, max_files=1)
+    q = start(spark, raw, reg, tr, rec, scratch_path(spark, "ckpt-ingest"), trigger=None, max_files=1, **how)
     q.awaitTermination()
     registry = TB.registry(spark, reg)
     return (TB.speed_records(spark, rec).join(registry.select("segment_index", "shape_hash"), "segment_index")
             .select("seq", "shape_hash", "Speed"))
 
 
+@query
+def stream_ingest(spark, sf):
+    raw = scratch_path(spark, "landing")
+    SI.snapshot_docs(spark, sf).select("value").repartitionByRange(4, "seq").write.text(raw)
+    return _ingested(spark, raw)
+
+
+@query
+def stream_ingest_replayed(spark, sf):
+    """Every document lands twice, in other files: the stream's state and the store keep one of each."""
+    raw = scratch_path(spark, "landing")
+    docs = SI.snapshot_docs(spark, sf)
+    docs.select("value").repartitionByRange(2, "seq").write.text(raw)
+    docs.select("value").repartition(2, F.col("seq") % 5).write.mode("append").text(raw)
+    return _ingested(spark, raw, dedup_within="1 day")
+
+
+@query
+def compact_records(spark, sf):
+    """Four writes of records, packed into one folder in Z-order: the same rows as before."""
+    path = scratch_path(spark, "records")
+    sr = SI.speed_records(spark, sf)
+    for k in range(4):
+        TB.append_speed_records(sr.where(F.col("seq") % 4 == k), path)
+    TB.compact_records(spark, path)
+    TB.append_speed_records(sr, path)        # the store still knows what it holds
+    return TB.speed_records(spark, path).select("segment_index", "seq", "Speed", "SpeedKmh")
+
+
 @query
 def src_snapshot_quarantine(spark, sf):
     """Every landed document is read or set apart, malformed ones included."""
@@ -614,9 +640,9 @@ def _three_runs(spark, sf):
     late = docs.filter(F.col("snapshot_ts") >= SPLIT_SNAPSHOT)
     paths = {n: scratch_path(spark, n) for n in ("registry", "transformed", "records", "state", "predictions")}
     counters = []
-    for k, (part, at) in enumerate(((early, "2024-02-01 00:00:00"), (late, "2024-02-01 23:59:59"), (late, "2024-02-02 00:00:01"))):
+    for part, at in (early, "2024-02-01 00:00:00"), (late, "2024-02-01 23:59:59"), (late, "2024-02-02 00:00:01"):
         counters.append(ETL.run_batch(part, paths["registry"], paths["transformed"], paths["records"], ingested_at=at,
-                                      state_path=paths["state"], predictions_path=paths["predictions"], version=k))
+                                      state_path=paths["state"], predictions_path=paths["predictions"]))
     return paths, counters
 
 

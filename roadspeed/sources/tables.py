@@ -1,145 +1,159 @@
-"""Derived tables: transformed runs, speed records, predictions, registry.
-
-All are parquet with declared schemas. Layouts:
-
-* transformed    partitioned by ``snapshot_ts``; appended.
-* speed_records  partitioned by ``record_date`` (of the snapshot, so a replay
-  touches the same folders whenever it runs); each write is range
-  clustered on (segment_index, seq) so parquet min/max statistics prune
-  row groups for per-segment reads.
-* Both skip rows whose identity (snapshot_ts, doc_key, pos) the touched
-  folders already hold: a replay adds nothing, and documents of one snapshot
-  that come in several batches are all kept.
-* predictions    partitioned by ``run_date``; append only.
-* registry       parquet; appended with newly registered segments only.
+"""Derived tables: transformed runs, speed records, predictions, registry, states.
+
+All are parquet with declared schemas, kept as committed folders (``commits``): a
+write is seen whole or not at all, costs the same however much is stored, and is
+never a folder per snapshot or date.
+
+* transformed, speed_records  one folder per write, pruned by the range of
+  ``snapshot_ts`` in the manifest. Each commit carries the keys (snapshot_ts,
+  doc_key) of its documents; documents that the table holds are skipped, so a
+  replay or a retry after a crash adds nothing, however documents are grouped.
+  Records are range clustered on (segment_index, seq) per write, and over
+  writes by ``compact_records``.
+* predictions  pruned by ``seq``; (segment_index, seq) that the table holds are skipped.
+* registry  extended only by a writer that has seen all rows before.
+* states    one folder, replaced as a whole.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
+from pyspark.sql import types as T
 
 from ..operators.records import identified
 from ..schemas import PREDICTIONS, REGISTRY, SPEED_RECORDS, TRANSFORMED
+from . import commits as C
 
 IDENTITY = ["snapshot_ts", "doc_key", "pos"]
+DOCUMENT = ["snapshot_ts", "doc_key"]
+RECORDS = T.StructType(SPEED_RECORDS.fields + [T.StructField("record_date", T.DateType())])
+STORED_PREDICTIONS = T.StructType(PREDICTIONS.fields + [T.StructField("run_date", T.DateType())])
 
 
-def _stored(spark: SparkSession, path: str, schema) -> DataFrame | None:
-    """The table, or None while its folder does not exist."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-
+def _typed(df: DataFrame, schema: T.StructType) -> DataFrame:
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
 
-def _unstored(df: DataFrame, stored: DataFrame | None, folder: str) -> DataFrame:
-    """Rows whose identity is new, each once; only the folders that ``df`` touches are read."""
-    df = df.dropDuplicates(IDENTITY)
-    if stored is None:
-        return df
-    known = stored.select(folder, *(c for c in IDENTITY if c != folder)).join(
-        df.select(folder).distinct(), folder, "left_semi")
-    return df.join(known, [folder, *(c for c in IDENTITY if c != folder)], "left_anti")
 
+def write_transformed(df: DataFrame, path: str, span: tuple | None = None, distinct: bool = True) -> int:
+    """Append the rows of new documents, ordered by (snapshot_ts, seq); returns how many.
 
-def write_transformed(df: DataFrame, path: str) -> None:
-    """Append new rows, range partitioned on (snapshot_ts, seq): a back-fill of
-    many snapshots writes about one file per folder, one large run is split by seq."""
-    out = df.select(*TRANSFORMED.fieldNames())
-    (_unstored(out, _stored(df.sparkSession, path, TRANSFORMED), "snapshot_ts")
-     .repartitionByRange("snapshot_ts", "seq")
-     .write.mode("append").partitionBy("snapshot_ts").parquet(path))
+    ``span`` is the range of ``snapshot_ts`` where it is known; ``distinct`` drops
+    rows that repeat an identity within ``df``.
+    """
+    out = _typed(df.dropDuplicates(IDENTITY) if distinct else df, TRANSFORMED)
+    return C.append(out, path, "snapshot_ts", DOCUMENT, span, lambda d: d.repartitionByRange("snapshot_ts", "seq"))
 
 
 def read_transformed(spark: SparkSession, path: str, snapshots: list[str] | None = None) -> DataFrame:
-    df = spark.read.schema(TRANSFORMED).parquet(path)
-    return df if snapshots is None else df.filter(F.col("snapshot_ts").isin(snapshots))
+    now = C.table(spark, path)
+    if snapshots is None:
+        return now.read(TRANSFORMED)
+    return now.read(TRANSFORMED, min(snapshots, default=""), max(snapshots, default="")).filter(F.col("snapshot_ts").isin(snapshots))
+
+
+def by_segment(df: DataFrame) -> DataFrame:
+    return df.repartitionByRange("segment_index", "seq").sortWithinPartitions("segment_index", "seq")
+
+
+def append_speed_records(df: DataFrame, path: str, idempotent: bool = True, span: tuple | None = None, distinct: bool = True) -> int:
+    """Append records; ``idempotent`` skips documents already stored. Returns the rows written."""
+    out = identified(df)
+    out = _typed((out.dropDuplicates(IDENTITY) if idempotent and distinct else out)
+                 .withColumn("record_date", F.to_date(F.substring("snapshot_ts", 1, 8), "yyyyMMdd")), RECORDS)
+    return C.append(out, path, "snapshot_ts", DOCUMENT if idempotent else (), span, by_segment)
+
 
+def speed_records(spark: SparkSession, path: str, since: str | None = None, until: str | None = None) -> DataFrame:
+    """The records; ``since`` and ``until`` (snapshot_ts) leave out folders, and rows, beyond them."""
+    if since is None and until is None:
+        return C.table(spark, path).read(RECORDS)
+    lo, hi = since or "", until or "\U0010ffff"
+    return C.table(spark, path).read(RECORDS, lo, hi).where(F.coalesce("snapshot_ts", F.lit("")).between(lo, hi))
 
-def _records_schema():
-    from pyspark.sql import types as T
-    return T.StructType(SPEED_RECORDS.fields + [T.StructField("record_date", T.DateType())])
 
+def stored_documents(spark: SparkSession, path: str, span: tuple) -> DataFrame | None:
+    """(snapshot_ts, doc_key) of the record store's documents around ``span``."""
+    return C.table(spark, path).keys(T.StructType([RECORDS[k] for k in DOCUMENT]), *span)
 
-def _counted(df: DataFrame) -> tuple[DataFrame, Observation]:
-    seen = Observation("rows")
-    return df.observe(seen, F.count(F.lit(1)).alias("n")), seen
 
+def stored_rows(spark: SparkSession, path: str) -> int:
+    """Rows of a table, from its manifest."""
+    return C.table(spark, path).rows
 
-def append_speed_records(df: DataFrame, path: str, idempotent: bool = True) -> int:
-    """Append records; ``idempotent`` skips those already stored. Returns the rows written."""
-    out = (identified(df).select(*SPEED_RECORDS.fieldNames())
-           .withColumn("record_date", F.to_date(F.substring("snapshot_ts", 1, 8), "yyyyMMdd")))
-    if idempotent:
-        out = _unstored(out, _stored(df.sparkSession, path, _records_schema()), "record_date")
-    out, seen = _counted(out.repartitionByRange("segment_index", "seq").sortWithinPartitions("segment_index", "seq"))
-    out.write.mode("append").partitionBy("record_date").parquet(path)
-    return seen.get["n"]
 
+def interleaved(a: Column, b: Column) -> Column:
+    """A Z-order key: the lower 16 bits of two non-negative numbers, bit by bit in turn."""
+    def apart(x: Column) -> Column:
+        for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+            x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask).cast("long"))
+        return x
+    return F.shiftleft(apart(a.cast("long")), 1).bitwiseOR(apart(b.cast("long")))
 
-def speed_records(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(_records_schema()).parquet(path)
+
+def z_ordered(df: DataFrame, files: int | None = None) -> DataFrame:
+    """Rows ranged and sorted by the interleaved bits of (segment_index, seq), each scaled to its range.
+
+    Both a segment's records and a stretch of time then lie in few files and row groups.
+    """
+    low, high, first, last = df.agg(F.min("segment_index"), F.max("segment_index"), F.min("seq"), F.max("seq")).first()
+
+    def scaled(col: str, lo, hi) -> Column:
+        if lo is None or hi == lo:
+            return F.lit(0).cast("long")
+        share = (F.col(col).cast("double") - float(lo)) / float(hi - lo)
+        return F.coalesce(F.floor(share * 65535).cast("long"), F.lit(0).cast("long"))
+    keyed = df.withColumn("_z", interleaved(scaled("segment_index", low, high), scaled("seq", first, last)))
+    ranged = keyed.repartitionByRange(files, "_z") if files else keyed.repartitionByRange("_z")
+    return ranged.sortWithinPartitions("_z", "segment_index", "seq").drop("_z")
+
+
+def compact_records(spark: SparkSession, path: str, rows: int = 50_000_000, files: int | None = None) -> int:
+    """Pack the record store's folders of fewer than ``rows`` rows into one in Z-order; returns how many there were."""
+    return C.compact(spark, path, RECORDS, lambda d: z_ordered(d, files), "snapshot_ts", DOCUMENT, rows)
 
 
 def append_predictions(df: DataFrame, path: str) -> int:
     """Append forecasts; (segment_index, seq) that the table holds are skipped, as a replayed run
-    repeats them. Returns the rows written."""
-    out = df.select(*PREDICTIONS.fieldNames()).withColumn("run_date", F.to_date("Time"))
-    stored = _stored(df.sparkSession, path, PREDICTIONS)
-    if stored is not None:
-        out = out.join(stored.select("segment_index", "seq"), ["segment_index", "seq"], "left_anti")
-    out, seen = _counted(out)
-    out.write.mode("append").partitionBy("run_date").parquet(path)
-    return seen.get["n"]
+    repeats them; only folders of the same ``seq`` are looked at. Returns the rows written."""
+    out = _typed(df.withColumn("run_date", F.to_date("Time")), STORED_PREDICTIONS)
+    return C.append(out, path, "seq", ["segment_index", "seq"])
 
 
 def predictions(spark: SparkSession, path: str) -> DataFrame:
-    from pyspark.sql import types as T
-    schema = T.StructType(PREDICTIONS.fields + [T.StructField("run_date", T.DateType())])
-    return spark.read.schema(schema).parquet(path)
+    return C.table(spark, path).read(STORED_PREDICTIONS)
 
 
-def write_registry_rows(rows: DataFrame, path: str) -> None:
-    rows.select(*REGISTRY.fieldNames()).write.mode("append").parquet(path)
+def extend_registry(spark: SparkSession, path: str, make: Callable[[DataFrame], DataFrame]) -> int:
+    """Add ``make(registry)``; if another writer adds rows meanwhile, ``make`` is asked again with those.
 
+    Rows are numbered after the registry's largest index, so no index is given twice,
+    neither by two writers nor by a run that is interrupted and repeated.
+    """
+    return C.extend(spark, path, REGISTRY, lambda known: _typed(make(known), REGISTRY))
 
-def registry(spark: SparkSession, path: str, create: bool = False) -> DataFrame:
-    """The registry; with ``create`` a folder that does not exist yet is an empty one, else it raises."""
-    found = _stored(spark, path, REGISTRY) if create else spark.read.schema(REGISTRY).parquet(path)
-    return spark.createDataFrame([], REGISTRY) if found is None else found
 
+def registry(spark: SparkSession, path: str, create: bool = False) -> DataFrame:
+    """The registry; with ``create`` one that does not exist yet is empty, else it raises.
 
-# --- versioned state tables -------------------------------------------------
+    A plain parquet folder without a manifest is read as it is.
+    """
+    now = C.table(spark, path)
+    if now.version or create:
+        return now.read(REGISTRY)
+    return spark.read.schema(REGISTRY).parquet(path)
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Committed versions (``v=<n>`` folders holding a _SUCCESS marker)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(conf)
-    if not fs.exists(root):
-        return []
-    out = []
-    for st in fs.listStatus(root):
-        name = st.getPath().getName()
-        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            out.append(int(name[2:]))
-    return sorted(out)
 
+# --- state tables -------------------------------------------------------------
 
 def read_state(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Newest committed version of a state table (empty when none)."""
-    versions = _versions(spark, path)
-    if not versions:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{path}/v={versions[-1]}")
+    """The state table as last committed (empty when it never was)."""
+    return C.table(spark, path).read(schema)
 
 
-def write_state(df: DataFrame, path: str, version: int) -> None:
-    """Write a new version; the previous one stays readable until this one
-    commits, so a failed write never loses the state."""
-    df.write.mode("overwrite").parquet(f"{path}/v={version}")
+def write_state(df: DataFrame, path: str) -> None:
+    """Replace the state; the one before stays readable until this one commits, so a failed
+    write never loses it."""
+    C.replace(df, path)

@@ -61,8 +61,7 @@ def test_documents_of_one_snapshot_in_two_batches_are_all_kept(spark):
     one = [{"results": [_result(10.1, 5.0), _result(10.2, 6.0)], "snapshot_ts": "20240101T000000"}]
     two = [{"results": [_result(10.3, 7.0)], "snapshot_ts": "20240101T000000"}]
     runs = [(one, "2024-01-01 23:59:58"), (two, "2024-01-01 23:59:59"), (two, "2024-01-02 00:00:01"), (one, "2024-01-02 00:00:02")]
-    got = [run_batch(_batch(spark, d), reg, tr, rec, ingested_at=at, state_path=st, predictions_path=pr, version=k)
-           for k, (d, at) in enumerate(runs)]
+    got = [run_batch(_batch(spark, d), reg, tr, rec, ingested_at=at, state_path=st, predictions_path=pr) for d, at in runs]
     assert [c["inserted"] for c in got] == [2, 1, 0, 0] and [c["extracted"] for c in got] == [2, 1, 1, 2]
     assert [c["forecasted"] for c in got] == [2, 3, 0, 0]
     assert sorted(r.Speed for r in TB.speed_records(spark, rec).collect()) == [5.0, 6.0, 7.0]
@@ -130,8 +129,8 @@ def test_documents_of_one_snapshot_share_seq_and_stay_apart_in_the_state(spark):
     from roadspeed.streaming.ingest import RECENT_SCHEMA
     reg, tr, rec, st, pr = (scratch_path(spark, n) for n in ("reg", "tr", "rec", "st", "pr"))
     docs = [[{"results": [_result(10.1, v)], "snapshot_ts": "20240101T000000"}] for v in (5.0, 9.0, 6.0)]
-    for k, d in enumerate(docs + docs[:2]):
-        run_batch(_batch(spark, d), reg, tr, rec, ingested_at="2024-01-01 00:00:00", state_path=st, predictions_path=pr, version=k)
+    for d in docs + docs[:2]:
+        run_batch(_batch(spark, d), reg, tr, rec, ingested_at="2024-01-01 00:00:00", state_path=st, predictions_path=pr)
     store, state = TB.speed_records(spark, rec), TB.read_state(spark, st, RECENT_SCHEMA)
     assert store.select("seq").distinct().count() == 1 and store.count() == state.count() == 3
     for n in (96, 2):
