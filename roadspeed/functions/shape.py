@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from ..schemas import SHAPE_DDL
 
 COORD_DIGITS = 6
+#: Above the error of 256 * 10**6 in doubles, 2**28 * 2**-53.
+GUARD = 1e-7
 
 
 def _is_int_token(tok: Column) -> Column:
@@ -32,6 +34,10 @@ def coord_value(tok: Column, digits: int = COORD_DIGITS) -> Column:
 def round_binary(x: Column, digits: int = COORD_DIGITS) -> Column:
     """Round the exact binary value of ``x`` half to even, as Python's ``round``.
 
+    The product with ``10**digits`` in doubles is off by less than GUARD for |x| < 256, so
+    where it is farther than that from a tie, its nearest integer is the right one.
+    The few others are decided exactly:
+
     ``|x|`` times a power of two is an integer X (below 2**63), so ``|x| * 10**digits``
     is ``X * 10**digits / 2**s`` and its distance to the midpoint is exact in
     decimals. The power suits the size of x, so that no bit of x is lost (but for
@@ -63,7 +69,10 @@ def round_binary(x: Column, digits: int = COORD_DIGITS) -> Column:
         return F.when(v["x"] == 0, v["x"]).otherwise(near * F.signum(v["x"]))
 
     exactly = let(let(let(x, scaled), rest), nearest)
-    return F.when(x.isNull(), F.lit(None).cast("double")).when(F.abs(x) < 256, exactly).otherwise(F.round(x, digits))
+    product = x * float(tens)
+    clear = F.abs(F.abs(product - F.floor(product)) - 0.5) > GUARD
+    return (F.when(x.isNull(), F.lit(None).cast("double")).when((F.abs(x) < 256) & clear, F.rint(product) / float(tens))
+            .when(F.abs(x) < 256, exactly).otherwise(F.round(x, digits)))
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -87,10 +96,23 @@ def coord_text(tok: Column, digits: int = COORD_DIGITS) -> Column:
     return let(coord_value(tok, digits), lambda r: _text(tok, r, digits))
 
 
+def rounded_points(points: Column, digits: int = COORD_DIGITS) -> Column:
+    """``array<struct<lat:struct<value,text>,lng:struct<value,text>>>`` of raw-token points, each rounded once."""
+    def coord(tok: Column) -> Column:
+        return let(coord_value(tok, digits), lambda r: F.struct(r.alias("value"), _text(tok, r, digits).alias("text")))
+    return F.transform(points, lambda p: F.struct(coord(p["lat"]).alias("lat"), coord(p["lng"]).alias("lng")))
+
+
 def _text(tok: Column, r: Column, digits: int) -> Column:
-    # Plain decimal text of the rounded value, trailing zeros trimmed.
-    fixed = F.regexp_replace(r.try_cast(f"decimal(38,{digits})").cast("string"), "0+$", "")
-    fixed = F.when(fixed.endswith("."), F.concat(fixed, F.lit("0"))).otherwise(fixed)
+    # Plain decimal text of the rounded value, trailing zeros trimmed. Below 256 the value is k / 10**digits for one k.
+    tens = 10 ** digits
+    k = F.rint(F.abs(r) * float(tens)).cast("long")
+    after = F.rtrim(F.lpad((k % tens).cast("string"), digits, "0"), F.lit("0"))
+    near = F.concat(F.when(r < 0, F.lit("-")).otherwise(F.lit("")), F.floor(k / tens).cast("string"), F.lit("."),
+                    F.when(after == "", F.lit("0")).otherwise(after))
+    far = F.regexp_replace(r.try_cast(f"decimal(38,{digits})").cast("string"), "0+$", "")
+    far = F.when(far.endswith("."), F.concat(far, F.lit("0"))).otherwise(far)
+    fixed = F.when(F.abs(r) < 256, near).otherwise(far)
     return (F.when(tok.isNull(), F.lit("null"))
             .when(_is_int_token(tok), F.regexp_replace(tok, r"^-0$", "0"))
             .when((r == 0) & tok.startswith("-"), F.lit("-0.0"))
@@ -113,12 +135,21 @@ def round_points(points: Column, digits: int = COORD_DIGITS) -> Column:
         coord_value(p["lng"], digits).alias("lng")))
 
 
+def values_of(rounded: Column) -> Column:
+    """The points of ``rounded_points`` as doubles."""
+    return F.transform(rounded, lambda p: F.struct(p["lat"]["value"].alias("lat"), p["lng"]["value"].alias("lng")))
+
+
+def json_of(rounded: Column) -> Column:
+    """Canonical JSON text of ``rounded_points``."""
+    items = F.transform(rounded, lambda p: F.concat(
+        F.lit('{"lat": '), p["lat"]["text"], F.lit(', "lng": '), p["lng"]["text"], F.lit("}")))
+    return F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
+
+
 def shape_json(points: Column, digits: int = COORD_DIGITS) -> Column:
     """Canonical JSON text of raw-token points, as Python json.dumps prints it."""
-    items = F.transform(points, lambda p: F.concat(
-        F.lit('{"lat": '), coord_text(p["lat"], digits),
-        F.lit(', "lng": '), coord_text(p["lng"], digits), F.lit("}")))
-    return F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
+    return json_of(rounded_points(points, digits))
 
 
 def shape_hash(text: Column) -> Column:

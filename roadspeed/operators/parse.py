@@ -42,7 +42,8 @@ def explode_results(df: DataFrame) -> DataFrame:
                                           "yyyyMMdd'T'HHmmssZ")).cast("long")
     base = F.coalesce(F.col("seq"), epoch) if "seq" in df.columns else epoch
     out = df.select(*keep, "doc_key", base.alias("_base"),
-                    F.posexplode(F.coalesce("results", F.array())).alias("pos", "result"))
+                    # The outer form: else a filter on the array's size is inferred, and the document is parsed for it once more.
+                    F.posexplode_outer("results").alias("pos", "result")).where("pos is not null")
     order = F.when(F.col("pos") < SEQ_SLOTS, F.col("_base") * F.lit(SEQ_SLOTS) + F.col("pos")).otherwise(
         F.raise_error(F.lit("a document has a million results or more")).cast("long"))
     return (out.withColumn("seq", order)
@@ -73,11 +74,11 @@ def flow_fields(df: DataFrame) -> DataFrame:
 def shape_columns(df: DataFrame) -> DataFrame:
     """Add ``shape`` (rounded points), ``shape_json`` and ``shape_hash``."""
     raw = S.raw_points(F.col("result.location.shape.links"))
-    return (df.withColumn("_raw_points", raw)
-            .withColumn("shape", S.round_points(F.col("_raw_points")))
-            .withColumn("shape_json", S.shape_json(F.col("_raw_points")))
+    return (df.withColumn("_points", S.rounded_points(raw))
+            .withColumn("shape", S.values_of(F.col("_points")))
+            .withColumn("shape_json", S.json_of(F.col("_points")))
             .withColumn("shape_hash", S.shape_hash(F.col("shape_json")))
-            .drop("_raw_points"))
+            .drop("_points"))
 
 
 def parse_snapshot(df: DataFrame, watch: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:

@@ -460,7 +460,7 @@ def run_metrics(spark, sf):
 
 @query
 def first_seen(spark, sf):
-    return R.first_seen(_parsed(spark, sf))
+    return R.first_seen(_parsed(spark, sf, reused=True))
 
 
 @query
@@ -478,7 +478,7 @@ def _registry_cols(df: DataFrame) -> DataFrame:
 
 @query
 def register_segments(spark, sf):
-    return _registry_cols(R.register_segments(_parsed(spark, sf), R.empty_registry(spark), created_at=RUN_TIME))
+    return _registry_cols(R.register_segments(_parsed(spark, sf, reused=True), R.empty_registry(spark), created_at=RUN_TIME))
 
 
 @query
