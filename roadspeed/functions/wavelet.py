@@ -1,16 +1,19 @@
-"""One-level Daubechies-4 (db4) wavelet transform as array expressions.
+"""Wavelet transforms of one or more levels as array expressions; db4 unless told otherwise.
 
 The series is one ``array<double>`` per row; analysis and synthesis are
 ``transform`` expressions with the eight taps unrolled, so a whole
 denoise stays inside one projection (no explode, no shuffle).
 
 Edges use half-sample symmetric extension: for a series of length n the
-index i maps to ``m = i mod 2n`` then ``m if m < n else 2n-1-m``. There are
-``K = floor((n+7)/2)`` coefficients per band.
+index i maps to ``m = i mod 2n`` then ``m if m < n else 2n-1-m``. A filter of f taps
+gives ``K = floor((n+f-1)/2)`` coefficients per band. Further levels transform the
+approximation of the level before.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,10 +26,22 @@ DB4_HIGH = [-0.2303778133088965, 0.7148465705529157, -0.6308807679298589,
             -0.0328830116668852, -0.010597401785069032]
 FILTER_LEN = 8
 MAD_SCALE = 0.6745
+_R3, _UNIT = math.sqrt(3), 4 * math.sqrt(2)
+#: Decomposition low-pass filters by name.
+LOW = {"haar": [math.sqrt(0.5)] * 2, "db2": [(1 - _R3) / _UNIT, (3 - _R3) / _UNIT, (3 + _R3) / _UNIT, (1 + _R3) / _UNIT], "db4": DB4_LOW}
+MODES = ("soft", "hard", "garrote")
+
+
+def filters(wavelet: str) -> tuple[list[float], list[float]]:
+    """(low, high) decomposition filters; the high one is the low one backwards with every other sign changed."""
+    if wavelet not in LOW:
+        raise ValueError(f"wavelet is one of {', '.join(LOW)}")
+    low = LOW[wavelet]
+    return low, DB4_HIGH if wavelet == "db4" else [-x if k % 2 == 0 else x for k, x in enumerate(reversed(low))]
 
 
-def n_coeffs(n: Column) -> Column:
-    return F.floor((n + F.lit(FILTER_LEN - 1)) / 2).cast("int")
+def n_coeffs(n: Column, taps: int = FILTER_LEN) -> Column:
+    return F.floor((n + F.lit(taps - 1)) / 2).cast("int")
 
 
 def _ext(i: Column, n: Column) -> Column:
@@ -36,18 +51,19 @@ def _ext(i: Column, n: Column) -> Column:
 
 def _analysis(x: Column, n: Column, taps: list[float]) -> Column:
     def coeff(k):
-        terms = [F.lit(taps[j]) * x[_ext(k * 2 + (1 - j), n)] for j in range(FILTER_LEN)]
+        terms = [F.lit(taps[j]) * x[_ext(k * 2 + (1 - j), n)] for j in range(len(taps))]
         acc = terms[0]
         for t in terms[1:]:
             acc = acc + t
         return acc
-    return F.transform(F.sequence(F.lit(0), n_coeffs(n) - 1), coeff)
+    return F.transform(F.sequence(F.lit(0), n_coeffs(n, len(taps)) - 1), coeff)
 
 
-def dwt(x: Column, n: Column | None = None) -> tuple[Column, Column]:
+def dwt(x: Column, n: Column | None = None, wavelet: str = "db4") -> tuple[Column, Column]:
     """Approximation and detail coefficients of ``x`` (length n >= 1)."""
     n = F.size(x) if n is None else n
-    return _analysis(x, n, DB4_LOW), _analysis(x, n, DB4_HIGH)
+    low, high = filters(wavelet)
+    return _analysis(x, n, low), _analysis(x, n, high)
 
 
 def explode_positions(arr: Column, pos: str = "pos", value: str = "value"):
@@ -86,18 +102,30 @@ def soft(cd: Column, thr: Column) -> Column:
     return map_with(cd, thr, lambda c, t: F.signum(c) * F.greatest(F.abs(c) - t, F.lit(0.0)))
 
 
-def idwt(ca: Column, cd: Column, n: Column) -> Column:
+def shrunk(cd: Column, thr: Column, mode: str = "soft") -> Column:
+    """Thresholded coefficients: moved towards 0 (soft), kept or dropped (hard), or between the two (garrote)."""
+    if mode == "soft":
+        return soft(cd, thr)
+    if mode == "hard":
+        return map_with(cd, thr, lambda c, t: F.when(F.abs(c) < t, F.lit(0.0)).otherwise(c))
+    if mode == "garrote":
+        return map_with(cd, thr, lambda c, t: F.when(F.abs(c) <= t, F.lit(0.0)).otherwise(c - t * t / c))
+    raise ValueError(f"mode is one of {', '.join(MODES)}")
+
+
+def idwt(ca: Column, cd: Column, n: Column, wavelet: str = "db4") -> Column:
     """Inverse transform cut to the original length n."""
     k_max = F.size(ca) - 1
+    low, high = filters(wavelet)
 
     def sample(t):
         acc = None
-        for j in range(FILTER_LEN):
+        for j in range(len(low)):
             twice_k = t + (j - 1)
             k = F.floor(twice_k / 2).cast("int")
             ok = (twice_k % 2 == 0) & (twice_k >= 0) & (k <= k_max)
-            term = F.when(ok, ca[F.when(ok, k).otherwise(0)] * F.lit(DB4_LOW[j])
-                          + cd[F.when(ok, k).otherwise(0)] * F.lit(DB4_HIGH[j])).otherwise(F.lit(0.0))
+            term = F.when(ok, ca[F.when(ok, k).otherwise(0)] * F.lit(low[j])
+                          + cd[F.when(ok, k).otherwise(0)] * F.lit(high[j])).otherwise(F.lit(0.0))
             acc = term if acc is None else acc + term
         return acc
     return F.transform(F.sequence(F.lit(0), n - 1), sample)

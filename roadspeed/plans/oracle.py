@@ -111,6 +111,28 @@ def _denoised(src: str) -> str:
     GROUP BY 1, 2)"""
 
 
+def _multilevel(taps: list[float], levels: int, keep: str) -> str:
+    """Denoised series of ``levels`` levels, level by level over rows (segment_index, t, x); ``keep`` thresholds x by h."""
+    f = len(taps)
+    ctes = [SR, _hist(96), XS, "tp(j, lo, hi) AS (VALUES " + ", ".join(
+        f"({j}, CAST({v!r} AS DOUBLE), CAST({taps[f - 1 - j] * (1 if j % 2 else -1)!r} AS DOUBLE))" for j, v in enumerate(taps)) + ")",
+        "l0 AS (SELECT segment_index, t, x, count(*) OVER (PARTITION BY segment_index) AS n FROM xs)"]
+    for k in range(1, levels + 1):
+        ctes += [f"c{k} AS (SELECT q.segment_index, q.k, q.n, sum(tp.lo * s.x) AS a, sum(tp.hi * s.x) AS d FROM (SELECT segment_index, n, "
+                 f"unnest(range((n + {f - 1}) // 2)) AS k FROM (SELECT DISTINCT segment_index, n FROM l{k - 1})) q CROSS JOIN tp "
+                 f"JOIN l{k - 1} s ON s.segment_index = q.segment_index AND s.t = {_ext('2 * q.k + 1 - tp.j', 'q.n')} GROUP BY 1, 2, 3)",
+                 f"l{k} AS (SELECT segment_index, k AS t, a AS x, (n + {f - 1}) // 2 AS n FROM c{k})"]
+    ctes.append("th AS (SELECT segment_index, median(abs(d)) / 0.6745 * sqrt(ln(any_value(n)) * 2) AS h FROM c1 GROUP BY 1)")
+    low = f"l{levels}"
+    for k in range(levels, 0, -1):
+        shrunk = keep.format(x="c.d", h="th.h")
+        ctes.append(f"r{k} AS (SELECT s.segment_index, s.t, sum(b.x * tp.lo + ({shrunk}) * tp.hi) AS x FROM l{k - 1} s CROSS JOIN tp "
+                    f"JOIN c{k} c ON c.segment_index = s.segment_index AND 2 * c.k = s.t + tp.j - 1 JOIN {low} b ON b.segment_index = c.segment_index "
+                    f"AND b.t = c.k JOIN th ON th.segment_index = s.segment_index GROUP BY 1, 2)")
+        low = f"r{k}"
+    return _with(*ctes) + "SELECT segment_index, t AS pos, round(x, 4) + 0.0 AS value FROM r1"
+
+
 def _with(*ctes: str) -> str:
     return "WITH " + ",\n  ".join(ctes) + "\n"
 
@@ -228,6 +250,10 @@ SQL["denoise_series"] = _with(SR, _hist(96), PADDED, "px AS (SELECT segment_inde
                               TAPS, _coef("px", "n"), _denoised("px")) + """SELECT segment_index, t AS pos,
   round(y, 4) + 0.0 AS value FROM rec"""
 
+_DB2 = [(1 - 3 ** 0.5) / 32 ** 0.5, (3 - 3 ** 0.5) / 32 ** 0.5, (3 + 3 ** 0.5) / 32 ** 0.5, (1 + 3 ** 0.5) / 32 ** 0.5]
+SQL["denoise_levels"] = _multilevel(DB4_LOW, 3, "IF(abs({x}) < {h}, 0.0, {x})")
+SQL["denoise_levels_db2"] = _multilevel(_DB2, 2, "sign({x}) * greatest(abs({x}) - {h}, 0.0)")
+
 _FC_TIME = "TIMESTAMP '2024-02-01 00:00:00'"
 SQL["forecast_persistence"] = _with(*_forecast_base()) + f"""SELECT {_FC_TIME} AS "Time", segment_index,
   list_transform(range(12), lambda i: round(y, 2) + 0.0) AS "Speed" FROM rec WHERE t = 0"""

@@ -372,6 +372,24 @@ def denoise_series(spark, sf):
 
 # --- forecasting ------------------------------------------------------------
 
+def _levels(spark, sf, **how) -> DataFrame:
+    out = D.denoise(_series(spark, sf), "series", **how)
+    return out.select("segment_index", explode_positions(F.col("denoised"), "pos", "v")).filter(F.col("pos").isNotNull()) \
+        .select("segment_index", F.col("pos").cast("long").alias("pos"), _r(F.col("v"), 4).alias("value"))
+
+
+@query
+def denoise_levels(spark, sf):
+    """Three levels of db4 with hard thresholds."""
+    return _levels(spark, sf, level=3, mode="hard")
+
+
+@query
+def denoise_levels_db2(spark, sf):
+    """Two levels of db2 with soft thresholds."""
+    return _levels(spark, sf, wavelet="db2", level=2)
+
+
 def _forecast(spark, sf, scorer) -> DataFrame:
     return FC.forecast(SI.speed_records(spark, sf), SI.registry(spark, sf), scorer=scorer,
                        run_time=RUN_TIME).select("Time", "segment_index", "Speed")
