@@ -178,9 +178,24 @@ def guessed_spans(text: str, ranks: dict[str, int], bits: float, base: list[tupl
 
 
 def dictionary(docs: DataFrame, size: int = DICTIONARY, text_col: str = "text") -> DataFrame:
-    """(word, n): the ``size`` commonest words of three or more letters in all texts, ties by word."""
-    counted = docs.withColumn("_none", F.lit(None).cast("long"))
-    return word_counts(counted, "_none", text_col, min_length=3, min_count=2, noise=0).orderBy(F.col("n").desc(), "word").limit(size)
+    """(word, n): words of three or more letters that occur more than some number of times in all texts, the
+    smallest number that leaves at most ``size`` of them.
+
+    The numbers of occurrences are told apart exactly up to 4096 and in 64 steps per
+    doubling beyond, so a few thousand counts decide and no list of candidates is
+    gathered.
+    """
+    counted = word_counts(docs.withColumn("_none", F.lit(None).cast("long")), "_none", text_col, min_length=3, min_count=2, noise=0)
+    n = F.col("n")
+    counted = counted.withColumn("step", F.when(n <= 4096, n).otherwise(4096 + F.floor((F.log2(n.cast("double")) - 12) * 64)).cast("long")).checkpoint()
+    steps = sorted(((r.step, r["count"]) for r in counted.groupBy("step").count().collect()), reverse=True)
+    above = 2 ** 62
+    for step, words in steps:
+        size -= words
+        if size < 0:
+            break
+        above = step
+    return counted.where(F.col("step") >= above).select("word", "n")
 
 
 ROW = "doc_id long, spans array<struct<kind: string, start: int, end: int, bits: double>>"
@@ -215,7 +230,8 @@ def find_secrets(docs: DataFrame, bits: float = BITS, dictionary_size: int = DIC
     ``dictionary_size`` words.
     """
     spark = session(docs)
-    ranks = {r.word: k for k, r in enumerate(dictionary(docs, dictionary_size, text_col).collect(), 1)}
+    ordered = sorted(dictionary(docs, dictionary_size, text_col).collect(), key=lambda r: (-r.n, r.word))
+    ranks = {r.word: k for k, r in enumerate(ordered, 1)}
     shared = spark.sparkContext.broadcast(ranks)
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
             .mapInArrow(_scan(shared, bits), ROW))

@@ -108,3 +108,9 @@ def test_query_digest(spark, docs):
 
 def test_empty_table(docs):
     assert S.find_secrets(docs([])).collect() == []
+
+
+def test_dictionary_is_the_commonest_words_without_a_part_of_a_tie(docs):
+    df = docs([(1, "aaa " * 5 + "bbb " * 3 + "ccc " * 3 + "ddd " * 2 + "eee"), (2, "aaa zz zz zz zz " + "big " * 9000 + "bigger " * 9500)])
+    for size, want in ((6, "aaa bbb ccc ddd big bigger"), (5, "aaa bbb ccc big bigger"), (4, "aaa big bigger"), (3, "aaa big bigger"), (0, "")):
+        assert {r.word for r in S.dictionary(df, size).collect()} == set(want.split())
