@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,16 @@ def text_of(col: str) -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def digest_of(col: str) -> Column:
+    """SHA-256 of the column as text, null as the empty string."""
+    return F.unhex(F.sha2(text_of(col), 256))
+
+
+def same(left: DataFrame, right: DataFrame, columns: dict[str, str]) -> Column:
+    """Whether the named columns of two frames agree, null as a value like others."""
+    return reduce(lambda a, b: a & b, [left[a].eqNullSafe(right[b]) for a, b in columns.items()])
+
+
 def tokenizer(name: str) -> str:
     """The place of a public tokenizer file, the same on every node."""
     import public_tokenizers
