@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadspeed.llm.frames import session, text_of
+from roadspeed.llm.frames import digest_of, same, session, text_of
 from roadspeed.llm.words import ALNUM, Words, buffers, chunks, grams, winnow, words
 
 WINDOW, GRAM = 10, 5
 #: Items of up to this many words together (some 60 MB with fingerprints) are sent to every task.
 BROADCAST_WORDS = 2_000_000
 
-RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<long>"
+RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<long>, digest binary"
 PRINT = "place long, print long, length int"
 
 
@@ -110,14 +110,14 @@ def _agree(a: np.ndarray, b: np.ndarray) -> int:
     return int(differ[0]) if len(differ) else len(a)
 
 
-def answer(doc_id: int | None, n_words: int, ranges: list[tuple[int, int]], items: set[int]) -> tuple:
+def answer(doc_id: int | None, digest: bytes, n_words: int, ranges: list[tuple[int, int]], items: set[int]) -> tuple:
     """A result row from covered word ranges and item identifiers."""
     n_hit, reach = 0, 0
     for a, b in sorted(ranges):
         n_hit += max(0, b - max(a, reach))
         reach = max(reach, b)
     names = ",".join(sorted(map(str, items)))
-    return (doc_id, n_words, n_hit, len(items), hashlib.sha256(names.encode()).hexdigest(), n_hit > 0, sorted(items))
+    return (doc_id, n_words, n_hit, len(items), hashlib.sha256(names.encode()).hexdigest(), n_hit > 0, sorted(items), digest)
 
 
 def _table(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
@@ -126,17 +126,30 @@ def _table(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
 
 
 def _answers(rows: list[tuple]) -> pa.RecordBatch:
-    return _table(rows, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"],
-                  [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.int64())])
+    return _table(rows, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "digest"],
+                  [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.int64()), pa.binary()])
+
+
+#: The items that a worker has fingerprinted last, kept from task to task.
+_OPEN: dict[tuple, Items] = {}
+
+
+def _opened(shared, window: int, gram: int) -> Items:
+    key = id(shared.value), window, gram
+    if key not in _OPEN or _OPEN[key].source is not shared.value:
+        _OPEN.clear()
+        _OPEN[key] = Items(shared.value, window, gram)
+        _OPEN[key].source = shared.value
+    return _OPEN[key]
 
 
 def _scan(shared, window: int, gram: int):
     """Task function of the lookup way."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(shared.value, window, gram)
+        items = _opened(shared, window, gram)
         for batch in batches:
             data, offsets = buffers(batch.column(1))
-            ids = batch.column(0).to_pylist()
+            ids, digests = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for i, j in chunks(offsets):
                 w = words(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], ALNUM)
                 ranges, found = defaultdict(list), defaultdict(set)
@@ -145,7 +158,7 @@ def _scan(shared, window: int, gram: int):
                     ranges[d].append((x, y))
                     found[d].add(items.ids[item])
                 sizes = np.diff(w.ends, prepend=0).tolist()
-                yield _answers([answer(ids[i + d], n, ranges.get(d, []), found.get(d, set())) for d, n in enumerate(sizes)])
+                yield _answers([answer(ids[i + d], digests[i + d], n, ranges.get(d, []), found.get(d, set())) for d, n in enumerate(sizes)])
     return run
 
 
@@ -175,7 +188,7 @@ def _verify(window: int, gram: int):
     def run(batches):
         for batch in batches:
             out = []
-            for doc_id, text, near in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc_id, text, digest, near in zip(*(c.to_pylist() for c in batch.columns)):
                 data, offsets = buffers(pa.array([text], pa.large_string()))
                 w = words(data, offsets, ALNUM)
                 ranges, found = [], set()
@@ -185,7 +198,7 @@ def _verify(window: int, gram: int):
                     for item, x, y in items.hits(w):
                         ranges.append((x, y))
                         found.add(items.ids[item])
-                out.append(answer(doc_id, len(w.hash), ranges, found))
+                out.append(answer(doc_id, digest, len(w.hash), ranges, found))
             yield _answers(out)
     return run
 
@@ -210,10 +223,17 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
     are equal are all reported; items with a null identifier are left out. Rows
     that repeat are answered each on its own; other columns are ignored.
     """
+    return _judged(docs, items, window, gram, broadcast_words, id_col, text_col, item_col, item_text).drop("digest")
+
+
+def _judged(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM, broadcast_words: int = BROADCAST_WORDS,
+            id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``decontaminate`` with the digest of the text."""
     if not 0 < gram < window:
         raise ValueError("a shingle is shorter than the window")
     spark = session(docs)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"),
+                       digest_of(text_col).alias("digest"))
     items = items.where(F.col(item_col).isNotNull()).select(
         F.col(item_col).cast("long").alias("item_id"), text_of(item_text).alias("text"))
     # Each word has at least one byte and a gap, so bytes bound words.
@@ -223,18 +243,25 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
         return docs.mapInArrow(_scan(shared, window, gram), RESULT)
     short = sorted(r.n for r in items.select("text").mapInArrow(_short_lengths(window), "n int").distinct().collect())
     # Row keys, as identifiers may repeat; the table is written so that a lost task finds the same keys.
-    keyed = docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text").checkpoint()
+    keyed = docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text", "digest").checkpoint()
     items = items.dropDuplicates().select(F.monotonically_increasing_id().alias("row"), "item_id", "text").checkpoint()
     of_docs = keyed.select("key", "text").mapInArrow(_emit_prints(window, gram, short, False), PRINT)
     of_items = items.select("row", "text").mapInArrow(_emit_prints(window, gram, short, True), PRINT)
     pairs = (of_docs.withColumnRenamed("place", "key").join(of_items.withColumnRenamed("place", "row"), ["print", "length"])
              .select("key", "row").distinct())
     near = (pairs.join(items, "row").groupBy("key").agg(F.collect_list(F.struct("item_id", "text")).alias("near")))
-    return (keyed.join(near, "key", "left").select("doc_id", "text", "near").mapInArrow(_verify(window, gram), RESULT))
+    return (keyed.join(near, "key", "left").select("doc_id", "text", "digest", "near").mapInArrow(_verify(window, gram), RESULT))
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The documents without any shared window, all columns unchanged; rows with a null identifier are kept."""
-    bad = (decontaminate(docs, items, id_col=id_col, **how).where(F.col("contaminated") & F.col("doc_id").isNotNull())
-           .select(F.col("doc_id").alias("_bad")))
-    return docs.join(bad, F.col(id_col).cast("long") == F.col("_bad"), "left_anti")
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The documents without any shared window, all columns unchanged.
+
+    Each row is decided by its own text: another text of the same identifier goes or
+    stays by itself, and rows that agree in both go or stay together. Rows with a null
+    identifier are kept.
+    """
+    bad = (_judged(docs, items, id_col=id_col, text_col=text_col, **how).where("contaminated and doc_id is not null")
+           .select(F.col("doc_id").alias("_bad"), F.col("digest").alias("_bad_digest")).distinct())
+    rows = docs.withColumns({"_id": F.col(id_col).cast("long"), "_digest": digest_of(text_col)})
+    return (rows.join(bad, same(rows, bad, {"_id": "_bad", "_digest": "_bad_digest"}), "left_anti")
+            .select(*[F.col(f"`{c}`") for c in docs.columns]))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadspeed.llm.frames import session, shuffle_partitions, text_of
+from roadspeed.llm.frames import digest_of, session, shuffle_partitions, text_of
 
 RUN = "slot int, digest binary, n_bytes long, mark long, lo long, hi long, n long"
 KEY = ["digest", "n_bytes", "mark"]
@@ -110,7 +110,18 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
-    """The input rows that stay, all columns unchanged. Rows with a null identifier are kept."""
-    gone = (exact_dedup(df, id_col, text_col, keep).where(~F.col("kept") & F.col(id_col).isNotNull())
-            .select(F.col(id_col).alias("_gone")))
-    return df.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    """One row of each text, all columns unchanged: one of the largest (or smallest) identifier.
+
+    Each row is decided by its own identifier and text, so a dropped copy takes no other
+    text of its identifier with it; of rows that agree in both one stays. A null
+    identifier stays only for a text that has no other.
+    """
+    if keep not in ("max", "min"):
+        raise ValueError("keep is max or min")
+    groups = text_groups(df, id_col, text_col).where("n > 1").select(
+        F.col("digest").alias("_copy_digest"), F.col("hi" if keep == "max" else "lo").alias("_copy_best"))
+    rows = df.withColumns({"_id": F.col(id_col).cast("long"), "_digest": digest_of(text_col)})
+    alone = rows.join(groups, F.col("_digest") == F.col("_copy_digest"), "left_anti")
+    best = rows.join(groups, (F.col("_digest") == F.col("_copy_digest")) & F.col("_id").eqNullSafe(F.col("_copy_best")), "left_semi")
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    return alone.select(*columns).unionByName(best.dropDuplicates(["_digest"]).select(*columns))

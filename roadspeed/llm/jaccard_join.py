@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadspeed.llm.components import components
-from roadspeed.llm.frames import session, text_of
+from roadspeed.llm.frames import digest_of, session, text_of
 from roadspeed.llm.words import ALNUM, U64, Words, buffers, chunks, grams, mix, words
 
 SHINGLE = 5
@@ -238,6 +238,18 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     documents like others; a class of null identifiers only has a null class_id.
     Other columns are ignored.
     """
+    rows, told = _classes(df, id_col, text_col, threshold, recall)
+    told = told.select("digest", "class_id", "n_links")
+    return rows.select("digest", "doc_id").join(told, "digest", "left").select(
+        F.col("doc_id").alias(id_col), F.when(F.col("n_links").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def _classes(df: DataFrame, id_col: str, text_col: str, threshold: tuple[int, int] = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
+    """(digest, doc_id, text) of the rows, and (digest, class_id, head, n_links) of the texts that are linked or repeat.
+
+    ``head`` is the text of the class that has the smallest identifier; of several the one of the smallest digest.
+    """
     session(df)
     up, down = threshold
     length = prefix_length(up / down, recall=recall)
@@ -266,16 +278,27 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = (nodes.select("digest", "first_id", "copies").join(degree, "digest", "left")
              .join(classes.select(F.col("node").alias("digest"), "root"), "digest", "left")
              .withColumn("root", F.coalesce("root", "digest")))
-    lowest = named.groupBy("root").agg(F.min("first_id").alias("class_id"), F.count("*").alias("members"))
+    lowest = named.groupBy("root").agg(F.min("first_id").alias("class_id"), F.count("*").alias("members"), F.min(
+        F.struct(F.col("first_id").isNull().alias("unnamed"), "first_id", "digest")).alias("head"))
     told = (named.join(lowest, "root").where("members > 1 or copies > 1")
-            .select("digest", F.col("class_id"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    return rows.select("digest", "doc_id").join(told, "digest", "left").select(
-        F.col("doc_id").alias(id_col), F.when(F.col("n_links").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+            .select("digest", "class_id", F.col("head.digest").alias("head"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    return rows, told
 
 
 def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The document of the smallest identifier of each class, all columns unchanged; null identifiers are kept."""
-    gone = (jaccard_join(df, id_col, text_col, **how).where(F.col(id_col) != F.col("class_id"))
-            .select(F.col(id_col).alias("_gone")).distinct())
-    return df.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    """One row of each class, all columns unchanged: one of the smallest identifier, and of that the text of the smallest digest.
+
+    Each row is decided by its own identifier and text, so a dropped text takes no other
+    text of its identifier with it; of rows that agree in both one stays. A null
+    identifier stays only for a class that has no other. Texts without a word are in no
+    class and stay.
+    """
+    _, told = _classes(df, id_col, text_col, **how)
+    told = told.select(F.col("digest").alias("_class_digest"), F.col("class_id").alias("_class_id"),
+                       (F.col("digest") == F.col("head")).alias("_class_head")).checkpoint()
+    rows = df.withColumns({"_id": F.col(id_col).cast("long"), "_digest": F.substring(digest_of(text_col), 1, 16)})
+    alone = rows.join(told, F.col("_digest") == F.col("_class_digest"), "left_anti")
+    heads = told.where("_class_head")
+    best = rows.join(heads, (F.col("_digest") == F.col("_class_digest")) & F.col("_id").eqNullSafe(F.col("_class_id")), "left_semi")
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    return alone.select(*columns).unionByName(best.dropDuplicates(["_digest"]).select(*columns))

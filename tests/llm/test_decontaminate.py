@@ -68,3 +68,12 @@ def test_empty_tables(spark, docs, limit):
     assert [r.n_hit for r in D.decontaminate(docs(rows), none, broadcast_words=limit).collect()] == [0, 0, 0]
     kept = D.drop_contaminated(docs(rows), some, broadcast_words=limit)
     assert kept.columns[:2] == ["doc_id", "text"] and kept.count() == 3
+
+
+@pytest.mark.parametrize("limit", [0, 10 ** 6])
+def test_stage_decides_each_row(spark, docs, limit):
+    item = " ".join(f"w{i}" for i in range(14))
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(7, "x " + item), (7, "clean"), (8, "clean"), (8, "clean"), (None, item), (None, "clean"), (9, None)]
+    kept = D.drop_contaminated(docs(rows), items, broadcast_words=limit).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, "clean"), (0, item), (7, "clean"), (8, "clean"), (8, "clean"), (9, "")]

@@ -58,3 +58,11 @@ def test_one_record_per_text_whatever_the_cube(docs):
     for slots in (4, 9, 30):
         got = X.text_groups(docs(rows, 6), slots=slots).collect()
         assert len(got) == 11 and all(r.n == 9 and r.hi - r.lo == 88 for r in got)
+
+
+def test_stage_decides_each_row(docs):
+    def kept(rows, **how):
+        return sorted(((r.doc_id or 0, r.text) for r in X.drop_copies(docs(rows), **how).collect()))
+    assert kept([(7, "A"), (9, "A"), (7, "B")]) == [(7, "B"), (9, "A")]
+    assert kept([(7, "A"), (7, "A")]) == [(7, "A")] and kept([(None, "A"), (None, "A"), (None, "B")]) == [(0, "A"), (0, "B")]
+    assert kept([(7, "A"), (None, "A"), (7, "A"), (8, None), (9, "")], keep="min") == [(7, "A"), (8, None)]

@@ -133,3 +133,14 @@ def test_components(spark, seed):
         assert got[a] == min(seen)
     assert set(got) == set(graph)
     assert components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_stage_decides_each_row(docs):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    near = a + " more"
+    def kept(rows):
+        return sorted(((r.doc_id or 0, r.text) for r in J.keep_one_of_each(docs(rows)).collect()))
+    assert kept([(9, a), (7, near), (9, b)]) == [(7, near), (9, b)]
+    assert kept([(7, a), (7, a)]) == [(7, a)] and len(kept([(7, a), (7, near), (7, a)])) == 1
+    got = kept([(None, a), (None, near), (None, b), (3, ""), (3, "")])
+    assert (0, b) in got and sum(t in (a, near) for _, t in got) == 1 and got.count((3, "")) == 2
