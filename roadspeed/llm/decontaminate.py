@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadspeed.llm.frames import digest_of, same, session, text_of
+from roadspeed.llm.frames import digest_of, kept, release, same, session, text_of
 from roadspeed.llm.words import ALNUM, Words, buffers, chunks, grams, winnow, words
 
 WINDOW, GRAM = 10, 5
@@ -131,10 +131,11 @@ def _answers(rows: list[tuple]) -> pa.RecordBatch:
 
 
 #: The items that a worker has fingerprinted last, kept from task to task.
-_OPEN: dict[tuple, Items] = {}
+_OPEN: dict[tuple, Items] = kept("items")
 
 
 def _opened(shared, window: int, gram: int) -> Items:
+    release("items")
     key = id(shared.value), window, gram
     if key not in _OPEN or _OPEN[key].source is not shared.value:
         _OPEN.clear()

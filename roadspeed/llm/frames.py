@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,6 +43,34 @@ def same(left: DataFrame, right: DataFrame, columns: dict[str, str]) -> Column:
     return reduce(lambda a, b: a & b, [left[a].eqNullSafe(right[b]) for a, b in columns.items()])
 
 
+#: What a Python worker keeps from task to task, by operator.
+_KEPT: dict[str, dict] = {}
+
+
+def kept(owner: str) -> dict:
+    """The operator's place for what its workers keep."""
+    return _KEPT.setdefault(owner, {})
+
+
+def release(owner: str | None = None) -> None:
+    """Free what other operators have left in this worker, at the start of a task."""
+    held = [v for k, v in _KEPT.items() if k != owner and v]
+    for one in held:
+        one.clear()
+    if held:
+        gc.collect()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+
+def scan_only(df: DataFrame) -> bool:
+    """Whether the frame only reads files and maps their rows, so that it gives the same rows in the same order each time."""
+    nodes = [line.strip(" :+-!'").split(" ")[0] for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if line.strip()]
+    return bool(nodes) and nodes[-1] == "Relation" and set(nodes) <= {"Project", "Filter", "Relation", "RelationV2"}
+
+
 def tokenizer(name: str) -> str:
     """The place of a public tokenizer file, the same on every node."""
     import public_tokenizers

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadspeed.llm.frames import session, text_of
+from roadspeed.llm.frames import kept, release, session, text_of
 
 BLANK = "▁"
 N_BEST = 4
@@ -319,10 +319,11 @@ def summary(pieces: Pieces, text: str) -> tuple[int, list[float], int, str, byte
 
 
 #: Kept by a worker from task to task, with their caches.
-_OPEN: dict[tuple[str, int, int], Pieces] = {}
+_OPEN: dict[tuple[str, int, int], Pieces] = kept("pieces")
 
 
 def opened(path: str, n_best: int, cache: int = CACHE) -> Pieces:
+    release("pieces")
     key = path, n_best, cache
     if key not in _OPEN:
         _OPEN.clear()

@@ -15,6 +15,8 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
+from roadspeed.llm.frames import kept, release
+
 #: Letters of Latin-1 and Latin Extended A. Capital I with dot grows when lower-cased and is left out.
 _LETTER = "A-Za-zÀ-ÖØ-öø-įı-ſ"
 _SPACE = r"\t-\r "
@@ -78,7 +80,7 @@ class Splitter:
         return self.special is not None and "<|" in text and self.special.search(text) is not None
 
 
-_KEPT: dict[tuple, CachedEncoder] = {}
+_KEPT: dict[tuple, CachedEncoder] = kept("pretokens")
 
 
 class CachedEncoder:
@@ -107,6 +109,7 @@ class CachedEncoder:
     @classmethod
     def kept(cls, key: tuple, make: Callable[[], CachedEncoder]) -> CachedEncoder:
         """This worker's encoder of a key, kept from task to task; another key replaces it."""
+        release("pretokens")
         if key not in _KEPT:
             _KEPT.clear()
             _KEPT[key] = make()
