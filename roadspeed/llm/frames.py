@@ -6,6 +6,7 @@ import ctypes
 import gc
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +60,7 @@ def release(owner: str | None = None) -> None:
         one.clear()
     if held:
         gc.collect()
+        pa.default_memory_pool().release_unused()
         try:
             ctypes.CDLL("libc.so.6").malloc_trim(0)
         except (OSError, AttributeError):  # another C library
