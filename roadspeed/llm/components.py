@@ -6,28 +6,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: A node is a hub if it has more than this part of all links; hubs are few, whatever the number of links.
+HUB = 1 / 1000
+
+
+def _with_least(pairs: DataFrame, total: int) -> DataFrame:
+    """Pairs (u, v) with ``m``, the smallest v of each u.
+
+    A hub's pairs stay where they are: the rows of hubs, under ``1 / HUB`` for ``total`` pairs, are broadcast.
+    """
+    low = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    hubs = F.broadcast(low.where(F.col("n") > total * HUB).select("u", "m"))
+    others = pairs.join(hubs, "u", "left_anti").join(low.where(F.col("n") <= total * HUB).select("u", "m"), "u")
+    return pairs.join(hubs, "u").unionByName(others)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of the links (u, v); the root is the component's smallest node.
 
     Large star links each larger neighbour of a node to the smallest node next to
     it, small star each smaller one; the number of rounds grows with the logarithm
     of the component size. Minima are pre-aggregated, so a node with very many links
-    costs one row per task. Each round is checkpointed; only two numbers reach the
-    driver.
+    costs one row per task, and hubs are joined to theirs by broadcast. Each round is
+    checkpointed; only two numbers reach the driver.
     """
     links = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
     state = None
+    total = links.count()
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = (both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(
+        large = (_with_least(both, 2 * total).where("v > u")
+                 .select(F.col("v").alias("u"), F.least("m", "u").alias("v"))).distinct()
+        # No more pairs than links: each gives one here.
+        small = _with_least(large, total).select(
             F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         links = small.where("u <> v").distinct().checkpoint()
         now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
             break
-        state = now
+        state, total = now, now[0]
     return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

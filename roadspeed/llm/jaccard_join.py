@@ -1,10 +1,13 @@
 """N-gram Jaccard join by a MinHash LSH forest with exact verification.
 
 Equal texts are one node. A node's signature is cut into ``TREES`` labels of
-``DEPTH`` hashes, the keys of sorted prefix tries. Prefixes are matched at full
-depth first and shortened until the chance that a pair at the threshold shares a
-prefix in some tree reaches the target recall. Nodes below one prefix are
-compared by their whole signatures; what is far below the threshold (five standard
+``DEPTH`` hashes, the keys of prefix tries. The nodes below the shortest prefix in
+use are one subtrie of a tree. It is sorted by label and walked upwards: nodes of
+equal labels are matched first, then the prefix is shortened by one value at a time,
+and only nodes that no longer match has connected yet are compared. A subtrie is
+left as soon as all its nodes are connected; else the prefix is shortened until the
+chance that a pair at the threshold has met in some tree reaches the target recall.
+A match compares whole signatures; what is far below the threshold (five standard
 errors) is not a candidate. Candidates are joined to classes, and inside a class
 the shingle sets of all pairs are compared exactly.
 
@@ -32,8 +35,8 @@ SHINGLE = 5
 THRESHOLD = (4, 5)
 TREES, DEPTH = 16, 6
 RECALL = 0.999
-#: Nodes in a block.
-BLOCK = 256
+#: Nodes in a block, and pairs whose signatures are compared at once.
+BLOCK, PAIRS = 256, 8192
 
 _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64) * U64(2) + U64(1)
@@ -101,7 +104,8 @@ def _prefixes(length: int):
             for k in range(length):
                 key = mix(key * U64(0x9E3779B97F4A7C15) + sig[:, :, k])
             nodes = pa.array(np.repeat(np.arange(len(sig)), TREES))
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), batch.column(0).take(nodes)], ["key", "digest"])
+            trees = pa.array(np.tile(np.arange(TREES, dtype=np.int32), len(sig)))
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), trees, batch.column(0).take(nodes)], ["key", "tree", "digest"])
     return run
 
 
@@ -155,15 +159,37 @@ def _cross(t: pa.Table) -> np.ndarray:
     return out
 
 
-def _candidates(least: int):
-    """Task function: spanning links of the nodes below one prefix whose signatures agree in ``least`` places."""
+def climb(sig: np.ndarray, tree: int, allowed: np.ndarray, shortest: int, least: int) -> np.ndarray:
+    """Per node of a subtrie the first of its component, walking up from full labels to prefixes of ``shortest`` values.
+
+    ``sig`` holds the nodes' signatures (node, tree, place); two nodes of a common prefix are
+    connected if they are ``allowed`` and agree in ``least`` places of all trees.
+    """
+    whole = sig.reshape(len(sig), -1)
+    order = np.lexsort(sig[:, tree, ::-1].T)
+    label = sig[order, tree]
+    near = np.zeros((len(sig), len(sig)), bool)
+    root = np.arange(len(sig))
+    for depth in range(sig.shape[2], shortest - 1, -1):
+        run = np.empty(len(sig), np.int64)
+        run[order] = np.concatenate(([0], np.cumsum((label[1:, :depth] != label[:-1, :depth]).any(axis=1))))
+        u, v = np.nonzero(np.triu((run[:, None] == run[None, :]) & (root[:, None] != root[None, :]) & allowed))
+        for a in range(0, len(u), PAIRS):
+            x, y = u[a:a + PAIRS], v[a:a + PAIRS]
+            met = (whole[x] == whole[y]).sum(axis=1) >= least
+            near[x[met], y[met]] = near[y[met], x[met]] = True
+        root = roots(near)
+        if not root.any():
+            break
+    return root
+
+
+def _candidates(shortest: int, least: int):
+    """Task function: spanning links of the nodes of each subtrie, a (key, i, j) group."""
     def run(batches):
         for t in groups(batches):
-            sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint32).reshape(len(t), -1)
-            near = np.zeros((len(t), len(t)), bool)
-            for a in range(0, len(t), 64):
-                near[a:a + 64] = (sig[a:a + 64, None, :] == sig[None, :, :]).sum(axis=2) >= least
-            root = roots(near & _cross(t))
+            sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint32).reshape(-1, TREES, DEPTH)
+            root = climb(sig, t["tree"][0].as_py(), _cross(t), shortest, least)
             at = np.flatnonzero(root != np.arange(len(root)))
             if len(at):
                 digest = t["digest"].combine_chunks()
@@ -261,10 +287,10 @@ def _classes(df: DataFrame, id_col: str, text_col: str, threshold: tuple[int, in
     # Written once: prefixes, candidates and sizes are all drawn from it.
     nodes = (rows.mapInArrow(_sign, "digest binary, doc_id long, sig binary").where("sig is not null").groupBy("digest")
              .agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("sig").alias("sig"))).checkpoint()
-    keys = nodes.select("digest", "sig").mapInArrow(_prefixes(length), "key long, digest binary")
+    keys = nodes.select("digest", "sig").mapInArrow(_prefixes(length), "key long, tree int, digest binary")
     many = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     below = dealt(keys.join(many, "key").join(nodes.select("digest", "sig"), "digest"), "key", "size")
-    found = components(_grouped(below).mapInArrow(_candidates(least), "u binary, v binary"))
+    found = components(_grouped(below).mapInArrow(_candidates(length, least), "u binary, v binary"))
     sizes = found.groupBy("root").agg(F.count("*").alias("size"))
     chosen = found.join(nodes.select(F.col("digest").alias("node"), "first_id", "copies"), "node").select(
         F.col("node").alias("digest"), "root", "first_id", "copies")

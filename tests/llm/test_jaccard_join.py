@@ -105,6 +105,47 @@ def test_prefix_length_and_recall():
     assert met >= 297
 
 
+def test_climb_connects_what_any_allowed_prefix_holds():
+    rng = np.random.default_rng(7)
+    sig = rng.integers(0, 3, (40, J.TREES, J.DEPTH)).astype(np.uint32)
+    sig[::5] = sig[0]
+    sig[::5, 0, 5] = np.arange(8)  # equal but for the last value of this tree
+    sig[1::10, 0] = sig[0, 0]  # below the same prefix, far by the whole signature
+    allowed = rng.random((40, 40)) < 0.9
+    allowed &= allowed.T
+    np.fill_diagonal(allowed, False)
+    for shortest in (6, 5, 4, 1):
+        whole = sig.reshape(40, -1)
+        near = (whole[:, None] == whole[None]).sum(axis=2) >= 60
+        near &= allowed & (sig[:, None, 0, :shortest] == sig[None, :, 0, :shortest]).all(axis=2)
+        assert (J.climb(sig, 0, allowed, shortest, 60) == J.roots(near)).all()
+
+
+def test_climb_shortens_only_what_is_open(monkeypatch):
+    asked = []
+    monkeypatch.setattr(J, "roots", lambda near, own=J.roots: asked.append(1) or own(near))
+    same = np.zeros((5, J.TREES, J.DEPTH), np.uint32)
+    J.climb(same, 3, ~np.eye(5, dtype=bool), 4, 90)
+    assert len(asked) == 1
+    same[4, 3, 5] = 1
+    J.climb(same, 3, ~np.eye(5, dtype=bool), 4, 90)
+    assert len(asked) == 3  # full depth, then one value less
+
+
+def test_recall_of_pairs_at_the_threshold_through_the_whole_join(docs):
+    rng = random.Random(3)
+    rows = []
+    for i in range(400):
+        base = [f"w{i}x{k}" for k in range(94)]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base[:45] + [f"v{i}"] + base[46:90] + [f"u{i}"] + base[91:]))]
+    s = [sets(t) for _, t in rows]
+    exact = [i for i in range(400) if 5 * len(s[2 * i] & s[2 * i + 1]) >= 4 * len(s[2 * i] | s[2 * i + 1])]
+    assert len(exact) == 400 and len(s[0] & s[1]) / len(s[0] | s[1]) < 0.83
+    rng.shuffle(rows)
+    linked = sum(n for _, _, n in result(docs(rows, 4)))
+    assert linked >= 2 * 0.998 * len(exact)
+
+
 def test_shared_counts_intersections():
     rng = np.random.default_rng(4)
     s = [np.unique(rng.integers(0, 6000, rng.integers(0, 4000)).astype(np.uint64)) for _ in range(20)]
