@@ -37,7 +37,7 @@ from roadspeed.llm.frames import kept, release, session, text_of
 BLANK = "▁"
 N_BEST = 4
 PENALTY = 10.0
-#: Entries of a generation of either cache; a worker needs some 1.5 KB for each (four generations).
+#: Entries of a generation of the cache; a worker needs some 0.7 KB for each (two generations).
 CACHE = 100_000
 #: Longer parts are not kept.
 LONGEST = 48
@@ -70,21 +70,22 @@ class Pieces:
             else:
                 normal[piece] = (i, sp.get_score(i))
                 self.bytes_of.append(piece.replace(BLANK, " ").encode())
-        #: Pieces with id and score, and None for what only begins one.
-        self.table: dict[str, tuple[int, float] | None] = {p[:k]: None for p in normal for k in range(1, len(p))} | normal
+        #: Pieces as a tree of characters: (what may follow or None, id, score), id -1 for what only begins a piece.
+        self.table = normal
+        self.tree = _tree(normal)
         self.unknown = sp.unk_id()
         self.lost = min(s for _, s in normal.values()) - PENALTY
+        self.reach = max(map(len, normal))
         self.inside = {p[k:k + 2] for p in normal for k in range(len(p) - 1)}
         #: Whether a blank that follows another character always begins a part.
         self.blanks_cut = not any(b[1] == BLANK != b[0] for b in self.inside)
         probe = "  a  b\tc  "
         self.plain = sp.normalize(probe) == BLANK + probe.replace(" ", BLANK)
         self.n_best, self.limit = n_best, limit
-        # Two generations each: what the younger has met again outlives the older.
+        # Two generations: what the younger has met again outlives the older.
         self.parts: dict[str, tuple] = {}
         self.old_parts: dict[str, tuple] = {}
-        self.small: dict[str, tuple] = {}
-        self.old_small: dict[str, tuple] = {}
+        self.lists_of: dict[str, list[Path]] = {}
 
     def escaped(self, text: str) -> str:
         if not text:
@@ -112,21 +113,22 @@ class Pieces:
 
     def lattice(self, text: str) -> tuple[list[float], list[list[tuple[float, int, int]]]]:
         """Forward Viterbi: the best score up to each place, and per place the steps (score, begin, id) that end there."""
-        n, get = len(text), self.table.get
+        n = len(text)
         best = [0.0] + [-math.inf] * n
         edges: list[list[tuple[float, int, int]]] = [[] for _ in best]
         for begin in range(n):
-            base, after = best[begin], begin + 1
-            for end in range(after, n + 1):
-                found = get(text[begin:end], 0)
-                if not found:
-                    if found is None:  # only the beginning of pieces
-                        continue
+            base, after, node, end = best[begin], begin + 1, self.tree, begin
+            while node and end < n:
+                found = node.get(text[end])
+                if found is None:
                     break
-                score = base + found[1]
-                edges[end].append((score, begin, found[0]))
-                if score > best[end]:
-                    best[end] = score
+                end += 1
+                node, i, gain = found
+                if i >= 0:
+                    score = base + gain
+                    edges[end].append((score, begin, i))
+                    if score > best[end]:
+                        best[end] = score
             if not edges[after] or edges[after][-1][1] != begin:
                 score = base + self.lost
                 edges[after].append((score, begin, -1))
@@ -139,17 +141,44 @@ class Pieces:
 
         The second best way leaves the best one at one place and is best before that.
         """
-        best, edges = self.lattice(text)
-        end, ids, least = len(text), [], math.inf
+        n = len(text)
+        best, second = [0.0] + [-math.inf] * n, [-math.inf] * (n + 1)
+        back: list[tuple[int, int]] = [(0, 0)] * (n + 1)
+        tree = self.tree
+        for begin in range(n):
+            base, end, node, single = best[begin], begin, tree, False
+            for char in text[begin:begin + self.reach]:
+                found = node.get(char)
+                if found is None:
+                    break
+                end += 1
+                node, i, gain = found
+                if i >= 0:
+                    single = single or end == begin + 1
+                    score = base + gain
+                    if score > best[end]:
+                        second[end], best[end], back[end] = best[end], score, (begin, i)
+                    elif score > second[end]:
+                        second[end] = score
+                if node is None:
+                    break
+            if not single:
+                score, end = base + self.lost, begin + 1
+                if score > best[end]:
+                    second[end], best[end], back[end] = best[end], score, (begin, -1)
+                elif score > second[end]:
+                    second[end] = score
+        end, ids, least = n, [], math.inf
         while end:
-            top, step = best[end], None
-            for e in edges[end]:
-                if step is None and e[0] == top:
-                    step = e
-                elif top - e[0] < least:
-                    least = top - e[0]
-            ids.extend((step[2],) if step[2] >= 0 else self.unknown_ids(text[end - 1])[::-1])
-            end = step[1]
+            loss = best[end] - second[end]
+            if loss < least:
+                least = loss
+            begin, i = back[end]
+            if i >= 0:
+                ids.append(i)
+            else:
+                ids.extend(self.unknown_ids(text[end - 1])[::-1])
+            end = begin
         return ids[::-1], best[-1], least
 
     def search(self, text: str) -> list[Path]:
@@ -196,34 +225,15 @@ class Pieces:
                 a = k
         yield text[a:]
 
-    def _small(self, text: str) -> tuple[list[int], float, float]:
-        found = self.small.get(text)
-        if found is not None:
-            return found
-        found = self.old_small.get(text)
-        if found is None:
-            found = self.best(text)
-        if len(text) <= LONGEST:
-            if len(self.small) >= self.limit:
-                self.small, self.old_small = {}, self.small
-            self.small[text] = found
-        return found
-
-    def part(self, text: str) -> tuple[bytes, int, float, float, str]:
-        """(best ids as bytes, their number, score, loss of the second best way, the part itself)."""
+    def part(self, text: str) -> tuple[bytes, int, float, float, bytes]:
+        """(best ids as bytes, their number, score, loss of the second best way, the ids decoded)."""
         found = self.parts.get(text)
         if found is not None:
             return found
         found = self.old_parts.get(text)
         if found is None:
-            ids, score, least = [], 0.0, math.inf
-            for x in self.lists(text):
-                more, gain, loss = self._small(x)
-                ids += more
-                score += gain
-                if loss < least:
-                    least = loss
-            found = struct.pack(f"<{len(ids)}I", *ids), len(ids), score, least, text
+            ids, score, least = self.best(text)
+            found = struct.pack(f"<{len(ids)}I", *ids), len(ids), score, least, b"".join([self.bytes_of[i] for i in ids])
         if len(text) <= LONGEST:
             if len(self.parts) >= self.limit:
                 self.parts, self.old_parts = {}, self.parts
@@ -232,7 +242,14 @@ class Pieces:
 
     def ways(self, text: str) -> list[Path]:
         """The N best (score, ids) of a part."""
-        return combine([self.search(x) for x in self.lists(text)], self.n_best)
+        found = self.lists_of.get(text)
+        if found is None:
+            found = combine([self.search(x) for x in self.lists(text)], self.n_best)
+            if len(text) <= LONGEST:
+                if len(self.lists_of) >= self.limit // 10:
+                    self.lists_of.clear()
+                self.lists_of[text] = found
+        return found
 
     def encode(self, text: str) -> list[Path]:
         """The N best segmentations of a whole text with their ids, best first; an empty text has one, without pieces."""
@@ -245,6 +262,21 @@ class Pieces:
         return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
 
 
+def _tree(pieces: dict[str, tuple[int, float]]) -> dict:
+    """Nested (children or None, id, score) by character; id -1 for what only begins a piece."""
+    tree: dict = {}
+    for piece in sorted(pieces, key=len, reverse=True):
+        node = tree
+        for char in piece[:-1]:
+            found = node.get(char)
+            if found is None:
+                found = node[char] = ({}, -1, 0.0)
+            node = found[0]
+        below = node.get(piece[-1])
+        node[piece[-1]] = (below[0] if below else None, *pieces[piece])
+    return tree
+
+
 def combine(lists: list[list[Path]], n: int) -> list[Path]:
     """The n best concatenations, one path of each list; lists are sorted and not empty.
 
@@ -289,20 +321,22 @@ def summary(pieces: Pieces, text: str) -> tuple[int, list[float], int, str, byte
     text_sum = hashlib.sha256()
     first, others = True, pieces.n_best - 1
     for block in pieces.parts_of(text):
-        known = pieces.parts.get
-        found = [known(p) or pieces.part(p) for p in block]
-        ids = b"".join([f[0] for f in found])
+        if not block:
+            continue
+        found = list(map(pieces.parts.get, block))
+        if None in found:
+            found = [f or pieces.part(p) for f, p in zip(found, block)]
+        packed, sizes, gains, least, decoded = zip(*found)
+        ids = b"".join(packed)
         crc = zlib.crc32(ids, crc)
         kept.append(ids)
-        sizes = [f[1] for f in found]
-        score += math.fsum([f[2] for f in found])
-        least = [f[3] for f in found]
+        score += math.fsum(gains)
         # (loss, place of the part's ids, their number, the part)
         near += [(least[k], count + sum(sizes[:k]), sizes[k], block[k])
-                 for k in heapq.nsmallest(others, range(len(found)), key=least.__getitem__)]
+                 for k in np.argsort(np.array(least), kind="stable")[:others].tolist()]
         near = heapq.nsmallest(others, near, key=itemgetter(0))
         count += sum(sizes)
-        data = b"".join(map(pieces.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        data = b"".join(decoded)
         text_sum.update(data[1:] if first and data[:1] == b" " else data)
         first = False
     whole = b"".join(kept)
