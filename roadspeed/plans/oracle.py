@@ -197,6 +197,10 @@ SQL["list_segments"] = _with(RG, SHAPES) + """SELECT segment_index, name,
   list_transform(pts, lambda p: p.lat) AS lats, list_transform(pts, lambda p: p.lng) AS lngs FROM shp"""
 SQL["search_segments"] = _with(RG) + """SELECT segment_index, name FROM rg
   WHERE contains(lower(coalesce(name, '')), '12') OR contains(CAST(segment_index AS VARCHAR), '12')"""
+SQL["search_indexed"] = _with(RG) + """SELECT s.q, segment_index, name
+  FROM rg, (VALUES ('', ''), ('7', '7'), ('12', '12'), (' 012 ', '012'), ('ER#00000012', 'er#00000012'),
+    ('segment', 'segment')) s(q, txt)
+  WHERE contains(lower(coalesce(name, '')), txt) OR contains(CAST(segment_index AS VARCHAR), txt)"""
 SQL["drawable_segments"] = _with(RG, SHAPES) + """SELECT segment_index, CAST(len(pts) AS BIGINT) AS n_points
   FROM shp WHERE len(pts) >= 2"""
 SQL["lookup_segments"] = _with(SR, RG) + """SELECT k.segment_index, rg.name, rg.shape
@@ -208,6 +212,20 @@ _HAV = """2 * 6371008.8 * asin(sqrt(least(
   + cos(radians(CAST(10.776889 AS DOUBLE))) * cos(radians(lat)) * pow(sin(radians(lng - 106.695278) / 2), 2), 1.0)))"""
 SQL["geo_circle"] = _with(GP) + f"""SELECT point_id, round(d, 3) + 0.0 AS dist_m FROM (
   SELECT point_id, {_HAV} AS d FROM gp) WHERE d <= 50000.0"""
+SQL["geo_circles"] = """WITH p AS (SELECT c_custkey AS point_id,
+    ((c_custkey * 7919) % 18101) / CAST(100 AS DOUBLE) - 90 AS lat, ((c_custkey * 6151) % 36001) / CAST(100 AS DOUBLE) - 180 AS lng
+    FROM customer),
+  c AS (SELECT s_suppkey AS circle_id,
+    CASE WHEN s_suppkey % 7 = 0 THEN 90 - (s_suppkey % 11) / CAST(2 AS DOUBLE)
+         WHEN s_suppkey % 7 = 1 THEN (s_suppkey % 11) / CAST(2 AS DOUBLE) - 90
+         ELSE ((s_suppkey * 911) % 18001) / CAST(100 AS DOUBLE) - 90 END AS lat0,
+    CASE WHEN s_suppkey % 5 = 0 THEN 180 - (s_suppkey % 9) / CAST(4 AS DOUBLE)
+         ELSE ((s_suppkey * 6151) % 36001) / CAST(100 AS DOUBLE) - 180 END AS lng0,
+    CASE WHEN s_suppkey % 10 = 3 THEN 2430000.0 ELSE 30000 * pow(3, s_suppkey % 4) END AS radius FROM supplier),
+  d AS (SELECT point_id, circle_id, radius, 2 * 6371008.8 * asin(sqrt(least(pow(sin(radians(lat - lat0) / 2), 2)
+    + cos(radians(lat0)) * cos(radians(lat)) * pow(sin(radians(lng - lng0) / 2), 2), 1.0))) AS m
+    FROM p, c WHERE lat BETWEEN -90 AND 90)
+SELECT point_id, circle_id, round(m, 2) + 0.0 AS dist_m FROM d WHERE m <= radius"""
 
 # series
 SQL["variate_position"] = _with(SR, _hist(96), PADDED) + "SELECT segment_index, network, variate FROM net"
@@ -328,6 +346,11 @@ REG_ALL = """reg AS (SELECT shape_hash, row_number() OVER (ORDER BY first_seq) A
 SQL["parse_results"] = _with(SN) + "SELECT seq, snapshot_ts, pos FROM sn"
 SQL["filter_links"] = _with(SN) + "SELECT seq FROM sn WHERE has_links"
 SQL["flow_fields"] = _with(SN) + """SELECT seq, name, speed_ms, jam_factor, free_flow_speed, confidence FROM sn"""
+_NAME = "CASE WHEN k % 11 = 0 OR k % 7 = 0 THEN '' WHEN k % 10 = 5 THEN {} ELSE 'Road ' || CAST(k AS VARCHAR) END AS name"
+SQL["flow_fields_strict"] = _with(SN) + f"""SELECT seq, {_NAME.format("NULL")}, speed_ms, jam_factor, free_flow_speed,
+  confidence FROM sn"""
+SQL["flow_fields_default"] = _with(SN) + f"""SELECT seq, {_NAME.format("''")}, coalesce(speed_ms, 0.0) AS speed_ms,
+  jam_factor, free_flow_speed, confidence FROM sn"""
 SQL["shape_points"] = _with(SN) + """SELECT seq, CAST(len(lats) AS BIGINT) AS n_points, lats, lngs FROM sn"""
 SQL["shape_json"] = _with(SN) + "SELECT seq, shape_json FROM recs"
 SQL["shape_hash"] = _with(SN) + "SELECT seq, shape_hash FROM recs"

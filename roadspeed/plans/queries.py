@@ -8,6 +8,7 @@ named exactly as in the SQL oracle (``oracle.py``).
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,10 +18,13 @@ from ..functions.metrics import kmh, speed_band
 from ..functions.names import api_name, display_name, registry_name
 from ..functions.shape import parse_shape, shape_center
 from ..functions.wavelet import explode_positions, soft
+from ..operators import circles as CI
 from ..operators import denoise as D
 from ..operators import forecast as FC
 from ..operators import history as H
+from ..operators import name_index as NI
 from ..operators import parse as P
+from ..operators import raw_flow as RF
 from ..operators import records as RC
 from ..operators import registry as R
 from ..operators import serving as SV
@@ -242,6 +246,18 @@ def search_segments(spark, sf):
     return SV.search_segments(rg, SEARCH_TEXT)
 
 
+SEARCHED = ["", "7", "12", " 012 ", "ER#00000012", "segment"]
+
+
+@query
+def search_indexed(spark, sf):
+    """Searches answered from the gram index: empty, short, long and unknown texts."""
+    path = scratch_path(spark, "name-index")
+    NI.write_index(SI.registry(spark, sf).select("segment_index", "name"), path)
+    found = [NI.search_index(spark, path, q).select(F.lit(q).alias("q"), "segment_index", "name") for q in SEARCHED]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query
 def drawable_segments(spark, sf):
     segs = SV.list_segments(SI.registry(spark, sf))
@@ -273,6 +289,13 @@ def geo_circle(spark, sf):
     return inside.select("point_id", _r(G.haversine_m(F.col("lat"), F.col("lng"), lat0, lng0), 3).alias("dist_m"))
 
 
+@query
+def geo_circles(spark, sf):
+    """Every point of the globe's stand-in within every supplier's circle."""
+    out = CI.within_circles(SI.globe_points(spark, sf), SI.globe_circles(spark, sf))
+    return out.select("point_id", "circle_id", _r(F.col("dist_m"), 2).alias("dist_m"))
+
+
 # --- series ---------------------------------------------------------------
 
 def _series(spark, sf, n: int = H.HISTORY_LEN) -> DataFrame:
@@ -444,6 +467,25 @@ def flow_fields(spark, sf):
         "seq", "name", "speed_ms", "jam_factor", "free_flow_speed", "confidence")
 
 
+def _flow_of_texts(spark, sf, strict: bool) -> DataFrame:
+    """Flow fields of the raw texts; descriptions of keys that end in 5 are an explicit null."""
+    docs = SI.snapshot_docs(spark, sf)
+    docs = docs.withColumn("value", F.regexp_replace("value", r'"Road \d*5"', "null"))
+    return RF.flow_fields_of_texts(RF.explode_texts(docs), strict).select(
+        (F.col("seq") * P.SEQ_SLOTS + F.col("pos")).alias("seq"),
+        "name", "speed_ms", "jam_factor", "free_flow_speed", "confidence")
+
+
+@query
+def flow_fields_default(spark, sf):
+    return _flow_of_texts(spark, sf, strict=False)
+
+
+@query
+def flow_fields_strict(spark, sf):
+    return _flow_of_texts(spark, sf, strict=True)
+
+
 @query
 def shape_points(spark, sf):
     return _lat_lng(P.shape_columns(P.explode_results(SI.snapshots(spark, sf))))

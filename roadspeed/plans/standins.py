@@ -100,6 +100,25 @@ def geo_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(k.alias("point_id"), lat.alias("lat"), lng.alias("lng"))
 
 
+def globe_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points over the whole globe, poles and date line included; some latitudes are out of range."""
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(
+        k.alias("point_id"), (((k * 7919) % 18101) / F.lit(100.0) - F.lit(90.0)).alias("lat"),
+        (((k * 6151) % 36001) / F.lit(100.0) - F.lit(180.0)).alias("lng"))
+
+
+def globe_circles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Circles of 30 to 2,430 km (one of 10 the largest) around centres that reach both poles and the date line."""
+    k = F.col("s_suppkey")
+    lat = F.when(k % 7 == 0, F.lit(90.0) - (k % 11) / F.lit(2.0)).when(k % 7 == 1, (k % 11) / F.lit(2.0) - F.lit(90.0)) \
+        .otherwise(((k * 911) % 18001) / F.lit(100.0) - F.lit(90.0))
+    lng = F.when(k % 5 == 0, F.lit(180.0) - (k % 9) / F.lit(4.0)).otherwise(((k * 6151) % 36001) / F.lit(100.0) - F.lit(180.0))
+    radius = F.when(k % 10 == 3, F.lit(2430000.0)).otherwise(F.lit(30000.0) * F.pow(F.lit(3.0), (k % 4).cast("double")))
+    return table(spark, sf_dir, "supplier").select(k.alias("circle_id"), lat.alias("lat"), lng.alias("lng"),
+                                                   radius.alias("radius_m"))
+
+
 # --- raw snapshots -------------------------------------------------------
 
 def _num(x: F.Column) -> F.Column:
