@@ -68,18 +68,18 @@ def matched(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
     return F.coalesce(*fits) if fits else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def _grams(text: Column, tag: str, sizes: tuple[int, ...]) -> Column:
+def _grams(text: Column, tag: str, size: int) -> Column:
+    """All runs of ``size`` characters of ``^text$``, tagged with their field."""
     chars = F.split(F.concat(F.lit("^"), text, F.lit("$")), "")
-    made = [F.when(F.size(chars) >= k, F.transform(
-        F.sequence(F.lit(1), F.size(chars) - (k - 1)),
-        lambda i, k=k: F.concat(F.lit(tag), F.array_join(F.slice(chars, i, k), "")))).otherwise(
-            F.array().cast("array<string>")) for k in sizes]
-    return F.concat(*made)
+    # One parameter only: a second one, even with a default, would be given the element's position.
+    return F.when(F.size(chars) >= size, F.transform(
+        F.sequence(F.lit(1), F.size(chars) - (size - 1)),
+        lambda i: F.concat(F.lit(tag), F.array_join(F.slice(chars, i, size), "")))).otherwise(F.array().cast("array<string>"))
 
 
 def features(df: DataFrame, host: str, path: str, out: str, size: int = FEATURES) -> DataFrame:
     """Add hashed presence features of the character n-grams of host and path."""
-    grams = F.concat(_grams(F.col(host), "h", SIZES), _grams(F.col(path), "p", SIZES))
+    grams = F.concat(*[_grams(F.col(c), tag, k) for c, tag in ((host, "h"), (path, "p")) for k in SIZES])
     return HashingTF(inputCol="_grams", outputCol=out, numFeatures=size, binary=True).transform(
         df.withColumn("_grams", grams)).drop("_grams")
 

@@ -2,6 +2,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from roadspeed.llm import url_filter as U
 
@@ -50,3 +51,30 @@ def test_held_out_accuracy(spark):
 
 def test_empty_table(spark, model):
     assert U.url_filter(spark.createDataFrame([], "page_id long, url string"), model).collect() == []
+
+
+@pytest.mark.parametrize("text", ["", "a", "ab", "abc.example", "x" * 5000, "é😀.com"])
+def test_grams_are_all_runs(spark, text):
+    for size in U.SIZES:
+        row = spark.createDataFrame([(text,)], "t string").select(U._grams(F.col("t"), "h", size).alias("g")).first()
+        full = f"^{text}$"
+        assert row.g == ["h" + full[i:i + size] for i in range(len(full) - size + 1)]
+
+
+# Hosts that are no word of the lists alone, and none of the table's forms.
+UNSEEN = [(1.0, h) for h in """bestcasinobonus.io online-slots24.net pokerstarsfan.org xxxvideos.tv adultdating.club
+hotgirlscams.live cheapviagra.shop genericpills.biz buybacklinks.pro paydayloansnow.us lotterywinner.co replicawatches.store
+adserver3.network trackclicks.media freejackpot.win crackkeygen.download torrentz.to spamlinks.info""".split()] + [
+    (0.0, h) for h in """springfieldlibrary.info uni-physics.edu nationalmuseum.dk citycouncil.gov childrenshospital.care
+dailynews.today sciencejournal.press mountainhiking.guide birdwatching.club gardenrecipes.kitchen chessforum.net
+weatherstation.earth poemsandletters.page oldbooks.store softwaredocs.dev farmersmarket.local harbourmaps.sea
+artpainting.gallery""".split()]
+
+
+def test_unseen_hosts(spark, model):
+    df = spark.createDataFrame([(k, f"https://{h}/en/{k}") for k, (_, h) in enumerate(UNSEEN)], "page_id long, url string")
+    got = {r.page_id: r.verdict == "block" for r in U.url_filter(df, model, rules=[]).collect()}
+    right = sum(got[k] == (label == 1.0) for k, (label, _) in enumerate(UNSEEN))
+    print("unseen hosts", right, "of", len(UNSEEN), [h for k, (l, h) in enumerate(UNSEEN) if got[k] != (l == 1.0)])
+    assert right >= 0.85 * len(UNSEEN)
+    assert sum(got[k] for k, (label, _) in enumerate(UNSEEN) if label == 0.0) <= 1
