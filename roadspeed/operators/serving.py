@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import segment_text, valid_segment
+from ..functions.geo import segment_text, valid_location, valid_segment
 from ..functions.metrics import kmh
 from ..functions.names import api_name
 from ..functions.shape import parse_shape
@@ -55,6 +55,19 @@ def parse_request_body(df: DataFrame, body: str = "body") -> DataFrame:
     return df.select("request_id", m["segment_index"].alias("segment_index"))
 
 
+def answer_locations(df: DataFrame, body: str = "body") -> DataFrame:
+    """Answer JSON bodies ``{"location": {"lat": .., "lng": ..}}``: request_id, status, lat, lng.
+
+    200 with the two numbers (numeric texts count) if both are there and within
+    bounds, ends included; else 400 and nulls, as for a body that is no JSON.
+    """
+    doc = F.try_parse_json(F.col(body))
+    found = df.select("request_id", *[F.try_variant_get(doc, f"$.location.{k}", "double").alias(k) for k in ("lat", "lng")])
+    ok = valid_location(F.col("lat"), F.col("lng"))
+    return found.select("request_id", F.when(ok, 200).otherwise(400).alias("status"),
+                        *[F.when(ok, F.col(k)).alias(k) for k in ("lat", "lng")])
+
+
 def answer_requests(requests: DataFrame, view: DataFrame, kind: str = "predict") -> DataFrame:
     """Answer a batch of requests (``request_id``, raw ``segment_index``).
 

@@ -197,6 +197,12 @@ SQL["list_segments"] = _with(RG, SHAPES) + """SELECT segment_index, name,
   list_transform(pts, lambda p: p.lat) AS lats, list_transform(pts, lambda p: p.lng) AS lngs FROM shp"""
 SQL["search_segments"] = _with(RG) + """SELECT segment_index, name FROM rg
   WHERE contains(lower(coalesce(name, '')), '12') OR contains(CAST(segment_index AS VARCHAR), '12')"""
+SQL["answer_location_bodies"] = """WITH r AS (SELECT event_id AS request_id, (user_id % 120) + 0.25 AS lat,
+    -((user_id % 240) + 0.5) AS lng, event_type IN ('click', 'view') AS whole FROM events),
+  k AS (SELECT *, whole AND lat <= 90 AND lng >= -180 AS ok FROM r)
+SELECT request_id, CAST(CASE WHEN ok THEN 200 ELSE 400 END AS BIGINT) AS status,
+  CAST(CASE WHEN ok THEN lat END AS DOUBLE) AS lat, CAST(CASE WHEN ok THEN lng END AS DOUBLE) AS lng FROM k"""
+SQL["point_reads"] = _with(RG) + "SELECT shape_hash, segment_index, name FROM rg WHERE segment_index IN (0, 7, 77, 1000000000)"
 SQL["search_indexed"] = _with(RG) + """SELECT s.q, segment_index, name
   FROM rg, (VALUES ('', ''), ('7', '7'), ('12', '12'), (' 012 ', '012'), ('ER#00000012', 'er#00000012'),
     ('segment', 'segment')) s(q, txt)

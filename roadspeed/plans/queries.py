@@ -7,6 +7,7 @@ named exactly as in the SQL oracle (``oracle.py``).
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from functools import reduce
 
@@ -188,6 +189,22 @@ def answer_request_bodies(spark, sf):
     return SV.answer_requests(SV.parse_request_body(_request_bodies(spark, sf)), view, "current")
 
 
+@query
+def answer_location_bodies(spark, sf):
+    """Nested location bodies: numbers, numeric texts, missing and null parts, out of bounds, no JSON."""
+    ev = SI.table(spark, sf, "events")
+    et, uid = F.col("event_type"), F.col("user_id")
+    lat = F.concat((uid % 120).cast("string"), F.lit(".25"))
+    lng = F.concat(F.lit("-"), (uid % 240).cast("string"), F.lit(".5"))
+    body = (F.when(et == "click", F.concat(F.lit('{"location": {"lat": '), lat, F.lit(', "lng": '), lng, F.lit("}}")))
+            .when(et == "view", F.concat(F.lit('{"location": {"lat": "'), lat, F.lit('", "lng": "'), lng, F.lit('"}}')))
+            .when(et == "signup", F.concat(F.lit('{"location": {"lat": '), lat, F.lit("}}")))
+            .when(et == "purchase", F.concat(F.lit('{"location": {"lng": '), lng, F.lit(', "lat": null}}')))
+            .otherwise(F.concat(F.lit('{"location": '), lat)))
+    out = SV.answer_locations(ev.select(F.col("event_id").alias("request_id"), body.alias("body")))
+    return out.withColumn("status", F.col("status").cast("long"))
+
+
 @query
 def request_status(spark, sf):
     view = SV.prediction_view(SI.registry(spark, sf), SI.speed_records(spark, sf),
@@ -604,6 +621,16 @@ def sink_speed_records(spark, sf):
     return TB.speed_records(spark, path).select("segment_index", "seq", "Speed", "SpeedKmh")
 
 
+@query
+def point_reads(spark, sf):
+    """Registry rows by shape hash from a stored registry: known and unknown ones."""
+    path = scratch_path(spark, "registry")
+    rg = SI.registry(spark, sf)
+    TB.extend_registry(spark, path, lambda known: rg.join(known, "segment_index", "left_anti"))
+    asked = [hashlib.sha256(str(k).encode()).hexdigest() for k in (0, 7, 77, 10**9)]
+    return TB.registry_of(spark, path, asked).select("shape_hash", "segment_index", "name")
+
+
 @query
 def sink_predictions(spark, sf):
     path = scratch_path(spark, "predictions")

@@ -146,6 +146,15 @@ def registry(spark: SparkSession, path: str, create: bool = False) -> DataFrame:
     return spark.read.schema(REGISTRY).parquet(path)
 
 
+def registry_of(spark: SparkSession, path: str, hashes: list[str]) -> DataFrame:
+    """Registry rows of some shape hashes: a point read that leaves out row groups by their Bloom filters.
+
+    For a few hashes (Spark pushes up to ``spark.sql.parquet.pushdown.inFilterThreshold`` values one
+    by one); many are joined with ``operators.registry.lookup_segments`` or ``new_shapes``.
+    """
+    return registry(spark, path).where(F.col("shape_hash").isin(hashes))
+
+
 # --- state tables -------------------------------------------------------------
 
 def read_state(spark: SparkSession, path: str, schema) -> DataFrame:
