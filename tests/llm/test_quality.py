@@ -227,3 +227,13 @@ def test_held_out_documents_of_every_language(spark, docs, few):
                   if r.doc_id in held and r.accepted)
     assert got["en", True] >= 90 and got["es", True] >= 90
     assert not got["en", False] and not got["es", False]
+
+
+def test_every_trusted_document_trains(spark, docs):
+    rows = [(i, f"text {i}", "en" if i % 3 else None) for i in range(25_000)]
+    dealt = Q.deal(docs([(i, "x", lang) for i, _, lang in rows]).select("doc_id", "lang")).collect()
+    assert sorted(r.doc_id for r in dealt) == list(range(25_000))
+    sizes = Counter((r.doc_id % 3 > 0, r.fold) for r in dealt)
+    for some in (True, False):
+        own = [sizes[some, k] for k in range(Q.FOLDS)]
+        assert max(own) - min(own) <= 1
