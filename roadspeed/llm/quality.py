@@ -344,7 +344,7 @@ RANGES = 256
 def deal(rows: DataFrame) -> DataFrame:
     """(doc_id, fold) of all training documents; a language's documents are dealt in turn, in the order of their hashes."""
     each = rows.groupBy("doc_id").agg(F.min(F.coalesce("lang", F.lit(""))).alias("key")).withColumn("_h", F.xxhash64("doc_id"))
-    each = each.withColumn("_range", F.shiftrightunsigned("_h", 56).cast("int")).checkpoint()
+    each = each.withColumn("_range", F.shiftright("_h", 56).cast("int")).checkpoint()
     # Documents of a language in earlier ranges: RANGES rows a language at most.
     earlier = Window.partitionBy("key").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     before = each.groupBy("key", "_range").agg(F.count(F.lit(1)).alias("_n")).select(

@@ -233,6 +233,9 @@ def test_every_trusted_document_trains(spark, docs):
     rows = [(i, f"text {i}", "en" if i % 3 else None) for i in range(25_000)]
     dealt = Q.deal(docs([(i, "x", lang) for i, _, lang in rows]).select("doc_id", "lang")).collect()
     assert sorted(r.doc_id for r in dealt) == list(range(25_000))
+    order = [r.id for r in spark.range(25_000).orderBy(F.xxhash64("id"), "id").collect()]
+    place = {i: k for some in (True, False) for k, i in enumerate(j for j in order if (j % 3 > 0) == some)}
+    assert all(r.fold == place[r.doc_id] % Q.FOLDS for r in dealt)
     sizes = Counter((r.doc_id % 3 > 0, r.fold) for r in dealt)
     for some in (True, False):
         own = [sizes[some, k] for k in range(Q.FOLDS)]
