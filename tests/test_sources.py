@@ -136,3 +136,12 @@ def test_documents_of_one_snapshot_share_seq_and_stay_apart_in_the_state(spark):
     for n in (96, 2):
         want = sorted(H.recent_history(store, n).collect())
         assert len(want) == min(n, 3) and sorted(H.recent_history(H.update_recent(state, store, n), n).collect()) == want
+
+
+def test_texts_are_built_in_tasks_by_the_size_of_the_files(spark, monkeypatch, tmp_path):
+    from roadspeed.plans import standins
+    spark.range(1000).write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    monkeypatch.setattr(standins, "SHARE", 500)
+    assert standins.spread(rows).rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+    assert sorted(r.id for r in standins.spread(rows, "id").collect()) == list(range(1000))
