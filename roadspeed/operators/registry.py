@@ -20,11 +20,15 @@ def drop_sentinel(registry: DataFrame) -> DataFrame:
 def first_seen(records: DataFrame) -> DataFrame:
     """One row per shape hash: name and shape of its earliest record.
 
-    The earliest ``seq`` is a hash aggregate with partial sums before the
-    shuffle, so a hash that holds a large share of the rows costs one small row
-    per map task; name and shape are then fetched for the named records only.
+    The records are read once: the earliest (seq, name, shape) is an aggregate with partial
+    results before the shuffle, so a hash that holds a large share of the rows costs one row
+    per map task, and no text is shuffled twice.
     """
-    return _described(records, records.groupBy("shape_hash").agg(F.min("seq").alias("first_seq")))
+    # The nulls are asked for inside the aggregate: a filter on the hash would be pushed below and compute the text once more.
+    known = F.col("shape_hash").isNotNull() & F.col("seq").isNotNull()
+    earliest = (records.groupBy("shape_hash").agg(F.min(F.when(known, F.struct("seq", "name", "shape_json"))).alias("_first"))
+                .where(F.col("_first").isNotNull()))
+    return earliest.select("shape_hash", F.col("_first.seq").alias("first_seq"), "_first.name", "_first.shape_json")
 
 
 def _described(records: DataFrame, first: DataFrame) -> DataFrame:
