@@ -270,7 +270,7 @@ SEARCHED = ["", "7", "12", " 012 ", "ER#00000012", "segment"]
 def search_indexed(spark, sf):
     """Searches answered from the gram index: empty, short, long and unknown texts."""
     path = scratch_path(spark, "name-index")
-    NI.write_index(SI.registry(spark, sf).select("segment_index", "name"), path)
+    NI.write_index(SI.registry(spark, sf, dealt=True).select("segment_index", "name"), path)
     found = [NI.search_index(spark, path, q).select(F.lit(q).alias("q"), "segment_index", "name") for q in SEARCHED]
     return reduce(DataFrame.unionByName, found)
 
