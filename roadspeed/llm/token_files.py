@@ -23,13 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from roadspeed.llm.frames import session, text_of
+from roadspeed.llm.frames import place, session, text_of
 from roadspeed.llm.pretokens import CachedEncoder
 
 #: Fixed values of the format.
@@ -148,15 +147,6 @@ class Reader:
         return np.concatenate(parts) if parts else np.zeros(0, f"<u{self.width}")
 
 
-def place(folder: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a folder every node sees, and the path in it."""
-    if "://" in folder or folder.startswith("file:"):
-        if folder.startswith("file:") and not folder.startswith("file://"):
-            folder = "file://" + folder[5:]
-        return fs.FileSystem.from_uri(folder)
-    return fs.LocalFileSystem(), folder
-
-
 def packer(width: int):
     """Ids as little-endian unsigned integers; one that does not fit raises."""
     letter = {2: "H", 4: "I"}[width]

@@ -240,3 +240,32 @@ def test_every_trusted_document_trains(spark, docs):
     for some in (True, False):
         own = [sizes[some, k] for k in range(Q.FOLDS)]
         assert max(own) - min(own) <= 1
+
+
+def test_texts_are_not_shuffled_and_held_out_scores_lack_the_own_fold(spark, docs, tmp_path, monkeypatch):
+    rows, labels = corpus(4, 60)
+    docs(rows, 3).write.parquet(str(tmp_path / "d"))
+    df, labelled = spark.read.parquet(str(tmp_path / "d")), spark.createDataFrame(labels, LABELS)
+    monkeypatch.setattr(Q, "PIECE", 500)
+    seen = []
+    plain = Q.scored
+    monkeypatch.setattr(Q, "scored", lambda *a: seen.append(plain(*a)) or seen[-1])
+    assert len(Q.quality_scores(df, labelled).collect()) == 60
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan and "Join" not in plan
+    good = {i for i, quality, _ in labels if quality}
+    fold = {r.doc_id: r.fold for r in Q.deal(df.where(F.col("doc_id").isin(good)).select("doc_id", "lang")).collect()}
+    got = {r.doc_id: r.held for r in seen[0].collect()}
+    assert {i for i, held in got.items() if held is not None} == good
+    for k in range(Q.FOLDS):
+        p = model([t for i, t, _ in rows if i in good and fold[i] != k])
+        for i in [i for i in sorted(good) if fold[i] == k][:2]:
+            c = classes(rows[i][1])
+            assert got[i] == pytest.approx(sum(math.log(p(tuple(c[j:j + Q.ORDER]))) for j in range(len(c) - Q.ORDER + 1)), rel=1e-5)
+
+
+def test_a_training_document_outside_its_part_raises(spark, docs, tmp_path):
+    rows = Q.blocks(docs([(1, "a"), (2, "b")]).selectExpr("doc_id", "lang", "cast(null as binary) digest", "5 model", "text"))
+    folds = Q.by_part(rows.selectExpr("doc_id + 10 as doc_id", "part", "0 as fold"), "folds")
+    with pytest.raises(Exception, match="was not met in its part"):
+        Q.fold_counts(rows, folds).collect()
