@@ -15,6 +15,8 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
+import numpy as np
+
 from roadspeed.llm.frames import kept, release
 
 #: Letters of Latin-1 and Latin Extended A. Capital I with dot grows when lower-cased and is left out.
@@ -26,10 +28,10 @@ _CONTRACTION = "'s|'t|'re|'ve|'m|'ll|'d"
 #: Lower-cased letters, single digits, runs of the rest; white space dropped.
 WORD_END = re.compile(rf"{_CONTRACTION}|[{_LETTER}]+|[0-9]|[^{_SPACE}{_LETTER}0-9]+")
 #: Letters, digits or the rest, each with at most one space before; white space kept.
-BYTE_LEVEL = re.compile(rf"{_CONTRACTION}| ?[{_LETTER}]+| ?[0-9]+| ?[^{_SPACE}{_LETTER}0-9]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+BYTE_LEVEL = re.compile(rf" ?[{_LETTER}]+| ?[0-9]+|{_CONTRACTION}| ?[^{_SPACE}{_LETTER}0-9]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
-#: Characters of texts that are split together.
-GROUP = 600_000
+#: Characters of texts that are split together, and new pre-tokens that are encoded as one text.
+GROUP, JOINED = 600_000, 256
 
 _CUT = re.compile(rf"[^{_SPACE}](?= [^{_SPACE}])")
 
@@ -105,6 +107,9 @@ class CachedEncoder:
         self.splitter = Splitter(spec)
         self.value, self.table, self.limit = value, table or {}, limit
         self.known, self.older = dict(self.table), {}
+        # A byte-level piece has one character for each byte.
+        self.bytes = None if self.splitter.pattern is not BYTE_LEVEL else np.array(
+            [len(self.library.id_to_token(i) or "") for i in range(self.library.get_vocab_size())], np.int64)
 
     @classmethod
     def kept(cls, key: tuple, make: Callable[[], CachedEncoder]) -> CachedEncoder:
@@ -159,5 +164,20 @@ class CachedEncoder:
         need = tokens.difference(self.known)
         new = need.difference(self.older)
         self.known.update((t, self.older[t]) for t in need - new)
-        ordered = list(new)
-        self.known.update(zip(ordered, self.encode(ordered)))
+        self.known.update(self._encoded(list(new)))
+
+    def _encoded(self, tokens: list[str]) -> Iterator[tuple[str, object]]:
+        """Each pre-token and its value. Byte-level words with a space before are encoded many in one text, where they stay apart."""
+        words = [t for t in tokens if t[0] == " " and t[1:2].isalpha()] if self.bytes is not None else []
+        groups = [words[k:k + JOINED] for k in range(0, len(words), JOINED)]
+        rest = tokens if not words else [t for t in tokens if t[0] != " " or not t[1:2].isalpha()]
+        for group, e in zip(groups, self.library.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
+            ids, want = e.ids, np.cumsum([len(t) if t.isascii() else len(t.encode()) for t in group])
+            ends = np.cumsum(self.bytes[ids])
+            cut = np.searchsorted(ends, want)
+            if cut[-1] != len(ids) - 1 or (ends[cut] != want).any():  # not apart, or an id that is no piece of bytes
+                rest.extend(group)
+                continue
+            cut = (cut + 1).tolist()
+            yield from zip(group, [self.value(ids[a:b]) for a, b in zip([0, *cut], cut)])
+        yield from zip(rest, self.encode(rest))

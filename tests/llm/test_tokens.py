@@ -62,6 +62,31 @@ TEXTS = [None, "", "The cat's 12 hats.", "ÉTÉ été  \n\n x", "<|endoftext|> i
          "The cat's 12 hats."]
 
 
+def test_new_words_are_encoded_many_in_one_text(monkeypatch):
+    monkeypatch.setattr(P, "JOINED", 5)
+    rng, calls = random.Random(5), []
+    words = ["".join(rng.choice("aeésßtŁnX") for _ in range(rng.randint(1, 12))) for _ in range(300)]
+    text = "".join(f"{rng.choice([' ', ' ', '  ', chr(10), '. ', ' 1'])}{w}{rng.choice(['', '', chr(39) + 's', '7', '!'])}" for w in words)
+    want = LIB[BYTE].encode(text, add_special_tokens=False).ids
+
+    class Counted:
+        def __init__(self, library):
+            self.library = library
+
+        def encode_batch_fast(self, texts, **how):
+            calls.append(len(texts))
+            return self.library.encode_batch_fast(texts, **how)
+    for broken in (False, True):
+        encoder = P.CachedEncoder(BYTE, list, limit=50)
+        new = len({t for t in encoder.splitter.tokens(text) if t[0] == " " and t[1:2].isalpha()})
+        encoder.library = Counted(encoder.library)
+        if broken:  # words that cannot be told apart are encoded one by one
+            encoder.bytes = encoder.bytes + 1
+        assert [i for lists in encoder.values([text]) for values in lists for ids in values for i in ids] == want
+        assert calls[0] == -(-new // 5) and (calls[1] >= new) == broken
+        calls.clear()
+
+
 @pytest.mark.parametrize("table", [None, {}, {"the": 1}])
 def test_counts_match_the_library(docs, table):
     rows = list(enumerate(TEXTS)) + [(2, TEXTS[2])]
