@@ -27,6 +27,9 @@ from roadspeed.llm.frames import digest_of, session, shuffle_partitions, text_of
 
 RUN = "slot int, digest binary, n_bytes long, mark long, lo long, hi long, n long"
 KEY = ["digest", "n_bytes", "mark"]
+#: Spark marks columns that are never null in a batch's schema, which merged records do not have.
+RUN_SCHEMA = pa.schema([("slot", pa.int32()), ("digest", pa.binary()), ("n_bytes", pa.int64()), ("mark", pa.int64()),
+                        ("lo", pa.int64()), ("hi", pa.int64()), ("n", pa.int64())])
 
 
 def merge_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -35,7 +38,7 @@ def merge_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        t = pa.Table.from_batches([batch])
+        t = pa.Table.from_batches([batch]).cast(RUN_SCHEMA)
         if held is not None:
             t = pa.concat_tables([held, t])
         t = t.group_by(KEY, use_threads=False).aggregate(

@@ -66,3 +66,15 @@ def test_stage_decides_each_row(docs):
     assert kept([(7, "A"), (9, "A"), (7, "B")]) == [(7, "B"), (9, "A")]
     assert kept([(7, "A"), (7, "A")]) == [(7, "A")] and kept([(None, "A"), (None, "A"), (None, "B")]) == [(0, "A"), (0, "B")]
     assert kept([(7, "A"), (None, "A"), (7, "A"), (8, None), (9, "")], keep="min") == [(7, "A"), (8, None)]
+
+
+def test_partitions_of_many_batches(docs, spark):
+    rows = ROWS + [(100 + i, f"t{i % 37}") for i in range(150)] + [(1000 + i, "hot") for i in range(40)]
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 10)
+    try:
+        assert result(X.exact_dedup(docs(rows, 2))) == brute(rows)
+        assert sorted(r.doc_id for r in X.drop_copies(docs(rows, 2)).collect()) == sorted(r[0] for r in brute(rows) if r[3])
+    finally:
+        spark.conf.set(name, before)
