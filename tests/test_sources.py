@@ -145,3 +145,24 @@ def test_texts_are_built_in_tasks_by_the_size_of_the_files(spark, monkeypatch, t
     monkeypatch.setattr(standins, "SHARE", 500)
     assert standins.spread(rows).rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
     assert sorted(r.id for r in standins.spread(rows, "id").collect()) == list(range(1000))
+
+
+def test_transformed_rows_move_once(spark, monkeypatch, tmp_path):
+    """One shuffle ranges and dedups the rows; what is stored is what it was, hashes of any form included."""
+    rows = spark.createDataFrame(
+        [(1, h, "n", 1.0, 1.0, 1.0, 1.0, 3.6, k, ts, str(k), 0) for k, (h, ts) in enumerate(
+            [("ab" * 32, "20240101T000000"), ("AB" * 32, "20240101T000000"), ("x", None), (None, "20240102T000000"), ("0", "")])],
+        "segment_index long, shape_hash string, name string, speed_ms double, jam_factor double, free_flow_speed double, "
+        "confidence double, speed_kmh double, seq long, snapshot_ts string, doc_key string, pos long").selectExpr(
+        "*", "timestamp_ntz '2024-01-01 00:00:00' as ingested_at")
+    real, plans = TB.C.append, []
+
+    def append(df, path, by, keys, span, arrange, checked):
+        plans.append(arrange(df)._jdf.queryExecution().executedPlan().toString())
+        return real(df, path, by, keys, span, arrange, checked)
+    monkeypatch.setattr(TB.C, "append", append)
+    path = f"{tmp_path}/transformed"
+    assert TB.write_transformed(rows.unionByName(rows), path) == 5
+    assert plans[0].count("Exchange ") == 1
+    back = TB.read_transformed(spark, path)
+    assert sorted(map(str, back.select(rows.columns).collect())) == sorted(map(str, rows.collect()))
