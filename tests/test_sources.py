@@ -166,3 +166,19 @@ def test_transformed_rows_move_once(spark, monkeypatch, tmp_path):
     assert plans[0].count("Exchange ") == 1
     back = TB.read_transformed(spark, path)
     assert sorted(map(str, back.select(rows.columns).collect())) == sorted(map(str, rows.collect()))
+
+
+def test_a_run_removes_what_it_keeps_for_itself(spark, tmp_path):
+    import os
+
+    from roadspeed.plans.etl import run_batch
+    from roadspeed.session import FREES_SHUFFLES, ensure_checkpoint_dir
+    place = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before, setting = set(os.listdir(place)), spark.conf.get(FREES_SHUFFLES, None)
+    reg, tr, rec, st, pr = (f"{tmp_path}/{n}" for n in ("reg", "tr", "rec", "st", "pr"))
+    doc = {"results": [_result(10.1, 5.0)], "snapshot_ts": "20240101T000000"}
+    for _ in range(2):
+        got = run_batch(_batch(spark, [doc]), reg, tr, rec, ingested_at="2024-01-01 00:00:00", state_path=st, predictions_path=pr)
+    assert (got["extracted"], got["inserted"]) == (1, 0)
+    left = {n for n in set(os.listdir(place)) - before if not n.startswith("rdd-")}
+    assert left == set() and spark.conf.get(FREES_SHUFFLES, None) == setting
